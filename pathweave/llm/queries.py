@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, quality_rules
+from . import bpe, language_id, packing, quality, quality_rules
 from .common import held_out, table
 
 
@@ -15,6 +15,22 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs), ["doc_id"])
@@ -27,7 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_packing, op6_bpe_codec, op8_language_id, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
