@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, quality_rules
+from . import bpe, language_id, near_dedup, packing, quality, quality_rules
 from .common import held_out, table
 
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -43,7 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_packing, op6_bpe_codec, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op6_bpe_codec, op8_language_id, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
