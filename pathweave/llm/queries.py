@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, packing, quality, quality_rules
+from . import bpe, chunk_dedup, language_id, near_dedup, packing, quality, quality_rules
 from .common import held_out, table
 
 
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
@@ -47,7 +51,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op6_bpe_codec, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op8_language_id, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
