@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, language_id, near_dedup, packing, quality, quality_rules
+from . import bpe, chunk_dedup, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup
 from .common import held_out, table
 
 
@@ -39,6 +39,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs), ["doc_id"])
@@ -51,7 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op7_suffix_dedup, op8_language_id, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
