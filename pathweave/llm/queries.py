@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup
+from . import bpe, chunk_dedup, fingerprints, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup
 from .common import held_out, table
 
 
@@ -54,8 +54,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs.select("doc_id", "text"), quality_rules.fit(docs, labels), ["doc_id"])
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_followers(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op7_suffix_dedup, op8_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
