@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, fingerprints, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup
+from . import bpe, chunk_dedup, fingerprints, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup, warc
 from .common import held_out, table
 
 
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -59,8 +64,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_warc_index, op3_near_dedup, op4_packing, op5_chunk_dedup, op6_bpe_codec, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_fingerprints)}
+
+
+#: What the archives must give back, from the table itself.
+OP2_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), r AS (SELECT d, max(page_id) AS root FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id <> root THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> root THEN root END AS refers_to
+FROM p LEFT JOIN r USING (d)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_index": OP2_SQL}
