@@ -4,12 +4,14 @@ A document is its set of word shingles. Documents with equal sets are one node f
 has ``TREES`` orders ("trees") of ``LABELS`` MinHash values each; in every order nodes are sorted by
 their values, and nodes next to each other with a common prefix of two values or more are candidates.
 
-1. Neighbours: in each order a node meets the two before it. The likeliest of them are confirmed on
-   their full sets and contract the nodes into components, so that large groups of near copies are
-   settled by a number of links in proportion to their size.
-2. The rest: in each region of a common two-value prefix, all pairs from different components are
-   screened by their signatures, wherever they stand in the order. A region with over ``REGION`` nodes
-   is split by longer prefixes first, region by region, as deep as needed. What passes is confirmed.
+1. Neighbours: in each order a node meets the two before it. The likeliest of them and a few others are
+   confirmed on their full sets and contract the nodes into components, so that large groups of near
+   copies are settled by a number of links in proportion to their size.
+2. The rest: in each region of a common two-value prefix, nodes of different components are screened
+   against each other by their signatures, wherever they stand in the order. A region with over
+   ``REGION`` nodes is split by longer prefixes first, region by region, as deep as needed. Nodes with a
+   likely partner get their sets, and what reaches the threshold links the components; a region gives
+   out no more links than it has components.
 
 A pair of similarity 0.8 shares a two-value prefix in one of 16 orders but with chance 1e-7, and the
 screen (128 values, at least 88 equal) lets it pass with chance 0.999; links are only ever lost, never
@@ -34,6 +36,8 @@ TREES, LABELS = 16, 8
 VALUES = TREES * LABELS
 #: Nodes of a region in which all pairs of different components are looked at.
 REGION = 4096
+#: Neighbours of a node, besides its likeliest, that are confirmed in the first step.
+RANDOM_LINKS = 4
 #: Ids up to which a set of ids is broadcast (8 bytes each) rather than joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -105,18 +109,33 @@ def _signs(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sign")).to_pylist()), np.uint32).reshape(-1, VALUES)
 
 
+def _regions(signs: np.ndarray) -> np.ndarray:
+    """For each signature and tree the region: a hash of the tree and its first two values."""
+    labels = signs.reshape(-1, TREES, LABELS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix64(mix64(labels[:, :, 0] << np.uint64(32) | labels[:, :, 1]) + np.arange(TREES, dtype=np.uint64)[None, :])
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each signature a byte of every value, and the regions, both as bytes."""
+    for batch in batches:
+        signs = _signs(batch)
+        low = np.ascontiguousarray(signs.view(np.uint8).reshape(len(signs), VALUES, 4)[:, :, 0])
+        regions = _regions(signs)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in regions], pa.binary())], ["node", "n", "low", "regions"])
+
+
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each node and tree: the region (tree and first two values) and the other six in order."""
     for batch in batches:
         if not batch.num_rows:
             continue
         labels = _signs(batch).reshape(-1, TREES, LABELS).astype(np.uint64)
-        tree = np.arange(TREES, dtype=np.uint64)[None, :]
-        with np.errstate(over="ignore"):
-            region = mix64(mix64(labels[:, :, 0] << np.uint64(32) | labels[:, :, 1]) + tree)
+        region = _regions(_signs(batch))
         rest = [(labels[:, :, i] << np.uint64(32) | labels[:, :, i + 1]).ravel().view(np.int64) for i in (2, 4, 6)]
         node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
-        yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), *map(pa.array, rest), pa.array(node)], ["region", "r1", "r2", "r3", "node"])
+        tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), *map(pa.array, rest), pa.array(node), pa.array(tree)], ["region", "r1", "r2", "r3", "node", "tree"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +164,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(keep)
         p1 = pa.array(node[np.maximum(at - 1, 0)], mask=~same1[at])
         p2 = pa.array(node[np.maximum(at - 2, 0)], mask=~same2[at])
-        return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[at]) for c in ("region", "r1", "r2", "r3", "node")), p1, p2], ["region", "r1", "r2", "r3", "node", "p1", "p2"])
+        return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[at]) for c in ("region", "r1", "r2", "r3", "node", "tree")), p1, p2], ["region", "r1", "r2", "r3", "node", "tree", "p1", "p2"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -167,9 +186,60 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(-1, dtype=np.int16)
 
 
-def _bytes_of(column: pa.Array) -> np.ndarray:
-    """The low bytes of signatures, a row for each."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES, 4)[:, :, 0])
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """A column of equally long binary values as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[pa.Table]:
+    """Rows of each run of equal keys together; runs are of bounded size."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys)
+        cuts = [0, *(1 + np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]))).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and (x[a], y[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = (x[a], y[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _likely(table: pa.Table, least: int, percent: int, first_tree: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a region (i, and all j > i) in different components whose sizes and signatures leave the
+    threshold possible. With ``first_tree`` a pair counts only in the first tree it shares a region in."""
+    part, n, tree = (table.column(c).to_numpy() for c in ("part", "n", "tree"))
+    low = _matrix(table.column("low"), np.uint8, VALUES)
+    regions = _matrix(table.column("regions"), np.uint64, TREES)
+    for i in range(len(part) - 1):
+        js = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
+        if first_tree and len(js) and tree[i]:
+            js = js[~(regions[js, : tree[i]] == regions[i, : tree[i]]).any(1)]
+        if len(js):
+            js = js[_agreement(low[i], low[js]) >= least]
+            if len(js):
+                yield i, js
+
+
+def _shared_counts(sets: list[np.ndarray]):
+    """A function (i, js) -> sizes of the intersections of set i with the sets js.
+
+    Sets become rows of bits over their common vocabulary where that takes little memory.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    words, code = np.unique(np.concatenate(sets), return_inverse=True)
+    width = -(-len(words) // 64)
+    if width * 8 * len(sets) > 64_000_000:
+        return lambda i, js: np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js), np.int64, len(js))
+    bits = np.zeros((len(sets), width), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    np.bitwise_or.at(bits, (owner, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    return lambda i, js: np.bitwise_count(bits[js] & bits[i]).sum(1, dtype=np.int64)
 
 
 class NearDuplicates:
@@ -183,8 +253,8 @@ class NearDuplicates:
 
     def screened(self, pairs: DataFrame, signs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose signatures and set sizes leave the threshold possible, with ``equal``."""
-        left = signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"), F.col("n").alias("n_a"))
-        right = signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"), F.col("n").alias("n_b"))
+        left = signs.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("n_a"))
+        right = signs.select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("n_b"))
         met = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         least = self.least
 
@@ -192,11 +262,11 @@ class NearDuplicates:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                equal = _agreement(_bytes_of(batch.column(2)), _bytes_of(batch.column(3)))
+                equal = _agreement(_matrix(batch.column(2), np.uint8, VALUES), _matrix(batch.column(3), np.uint8, VALUES))
                 at = np.flatnonzero(equal >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(equal[at].astype(np.int32))], ["a", "b", "equal"])
 
-        return met.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long, equal int")
+        return met.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long, equal int")
 
     def texts_of(self, ids: DataFrame, tag: str) -> DataFrame:
         """``node`` and ``text`` of the documents with these ids, written."""
@@ -238,64 +308,67 @@ class NearDuplicates:
 
         return written(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), tag)
 
-    def cross_pairs(self, members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
-        """Screened pairs of nodes in a common region whose components differ, with these."""
-        rows = members.select("region", "r1", "r2", "r3", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        mixed = written(rows.groupBy("region").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("region", "rows"), "mixed")
-        rows = written(rows.join(mixed, "region"), "regions")
+    def cross_links(self, members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
+        """Links between components (a, b) that nodes in a common region make, confirmed on full sets."""
+        rows = members.select("region", "tree", "r1", "r2", "r3", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        several = lambda r: r.groupBy("region").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("region", "rows")
+        rows = written(rows.join(written(several(rows), "mixed"), "region"), "regions")
         # Depths: a region over the limit is split by one more value, until it is small or values run out.
+        split = False
         for depth in range(LABELS - 2):
             if rows.where(F.col("rows") > REGION).isEmpty():
                 break
+            split = True
             column, shift = f"r{depth // 2 + 1}", 32 if depth % 2 == 0 else 0
             deeper = F.xxhash64("region", F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(0xFFFFFFFF)))
             rows = rows.withColumn("region", F.when(F.col("rows") > REGION, deeper).otherwise(F.col("region"))).drop("rows")
-            sizes = written(rows.groupBy("region").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("region", "rows"), f"mixed-{depth}")
-            rows = written(rows.join(sizes, "region"), f"regions-{depth}")
-        rows = rows.join(signs, "node").select("region", "r1", "r2", "r3", "node", "part", "n", "sign", "rows")
+            rows = written(rows.join(written(several(rows), f"mixed-{depth}"), "region"), f"regions-{depth}")
         # What is over the limit at full depth is dealt into blocks along its order.
         block = F.when(F.col("rows") > REGION, F.floor(F.pmod(F.shiftrightunsigned("r3", 16), F.lit(1 << 30)) * F.ceil(F.col("rows") / REGION) / (1 << 30))).otherwise(F.lit(0))
-        rows = rows.withColumn("block", block.cast("int")).repartition("region", "block").sortWithinPartitions("region", "block")
-        least, percent = self.least, self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-
-            def pairs() -> pa.RecordBatch | None:
-                table = pa.Table.from_batches(held).combine_chunks()
-                node, part, n = (table.column(c).to_numpy() for c in ("node", "part", "n"))
-                sign = _bytes_of(table.column("sign"))
-                found = []
-                for i in range(len(node) - 1):
-                    js = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
-                    if len(js):
-                        js = js[_agreement(sign[i], sign[js]) >= least]
-                        found.append((np.full(len(js), i), js))
-                if not found:
-                    return None
-                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                flip = node[i] > node[j]
-                i, j = np.where(flip, j, i), np.where(flip, i, j)
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], part[i], part[j])], ["a", "b", "part_a", "part_b"])
-
-            last = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                region, block = batch.column(0).to_numpy(), batch.column(6).to_numpy()
-                cuts = [0, *(1 + np.flatnonzero((region[1:] != region[:-1]) | (block[1:] != block[:-1]))).tolist(), batch.num_rows]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if held and (region[a], block[a]) != last:
-                        if (got := pairs()) is not None:
-                            yield got
-                        held = []
-                    held.append(batch.slice(a, b - a).select([1, 2, 3, 4]))
-                    last = (region[a], block[a])
-            if held and (got := pairs()) is not None:
-                yield got
-
-        found = rows.select("region", "node", "part", "n", "sign", F.lit(0).alias("unused"), "block").mapInArrow(run, "a long, b long, part_a long, part_b long")
-        return found.distinct()
+        rows = rows.select("region", block.cast("int").alias("block"), "tree", "node", "part").join(signs, "node")
+        least, percent, width = self.least, self.percent, self.width
+        columns = ["region", "block", "tree", "node", "part", "n", "low", "regions"]
+
+        def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The rows that have a likely partner in their region."""
+            for table in _blocks(batches, ("region", "block")):
+                found = np.zeros(table.num_rows, bool)
+                for i, js in _likely(table, least, percent, not split):
+                    found[i] = True
+                    found[js] = True
+                if found.any():
+                    yield from table.filter(pa.array(found)).combine_chunks().to_batches()
+
+        dealt = rows.select(*columns).repartition("region", "block").sortWithinPartitions("region", "block")
+        likely = written(dealt.mapInArrow(involved, "region long, block int, tree int, node long, part long, n long, low binary, regions binary"), "likely")
+        texts = self.texts_of(likely.select("node").distinct(), "likely-texts")
+
+        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Links that join components within a region: no more than it has components."""
+            for table in _blocks(batches, ("region", "block")):
+                part = table.column("part").to_numpy()
+                sets = []
+                for chunk in table.to_batches():
+                    for _, texts in text_chunks(chunk):
+                        sets += shingle_sets(texts, width)
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                shared = _shared_counts(sets)
+                _, group = np.unique(part, return_inverse=True)
+                made: list[tuple[int, int]] = []
+                for i, js in _likely(table, least, percent, not split):
+                    js = js[group[js] != group[i]]
+                    if not len(js):
+                        continue
+                    both = shared(i, js)
+                    for j in js[100 * both >= percent * (size[i] + size[js] - both)]:
+                        if group[j] != group[i]:
+                            made.append((part[i], part[j]))
+                            group[group == group[j]] = group[i]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        met = likely.join(texts, "node").select(*columns, "text").repartition("region", "block").sortWithinPartitions("region", "block")
+        return written(met.mapInArrow(links, "a long, b long"), "cross-links")
 
     def run(self) -> DataFrame:
         signed = written(_signed(self.docs, self.width), "signed")
@@ -304,29 +377,27 @@ class NearDuplicates:
         groups = ids.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
         nodes = written(groups, "nodes")
         order = ["region", "r1", "r2", "r3", "node"]
-        rows = nodes.select("node", "sign").mapInArrow(_orders, "region long, r1 long, r2 long, r3 long, node long")
+        rows = nodes.select("node", "sign").mapInArrow(_orders, "region long, r1 long, r2 long, r3 long, node long, tree int")
         rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-        members = written(rows.mapInArrow(_neighbours, "region long, r1 long, r2 long, r3 long, node long, p1 long, p2 long"), "members")
-        signs = nodes.select("node", "n", "sign")
+        members = written(rows.mapInArrow(_neighbours, "region long, r1 long, r2 long, r3 long, node long, tree int, p1 long, p2 long"), "members")
+        signs = nodes.select("node", "n", "sign").mapInArrow(_compact, "node long, n long, low binary, regions binary")
 
         near = members.select("node", F.explode(F.array("p1", "p2")).alias("p")).where("p IS NOT NULL AND p != node")
         pairs = written(self.screened(near.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), signs), "screened")
         texts = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "texts")
-        # Each node's likeliest neighbour first: as many pairs as nodes at most.
-        ends = pairs.select(F.col("a").alias("node"), F.struct("equal", "a", "b").alias("pair")).unionByName(pairs.select(F.col("b").alias("node"), F.struct("equal", "a", "b").alias("pair")))
-        best = ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        # Each node's likeliest neighbour first, and a few others taken by hashes: likeliest ones alone make
+        # many small clusters of a large group, some random ones more join them into one.
+        pair = F.struct("a", "b")
+        ends = pairs.select(F.col("a").alias("node"), "equal", pair.alias("pair")).unionByName(pairs.select(F.col("b").alias("node"), "equal", pair.alias("pair")))
+        likeliest = F.max(F.struct("equal", "pair"))["pair"]
+        others = [F.min(F.struct(F.xxhash64("pair", F.lit(i)).alias("h"), "pair"))["pair"] for i in range(RANDOM_LINKS)]
+        best = ends.groupBy("node").agg(F.array(likeliest, *others).alias("some")).select(F.explode("some").alias("pair")).select("pair.a", "pair.b").distinct()
         links = self.confirmed(best, texts, "links")
         parts = written(components(links), "parts")
 
         # All others, as far as the first links did not join their components.
-        left, right = (parts.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
-        named = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b"))
-        cross = self.cross_pairs(members, parts.withColumnRenamed("id", "node"), signs)
-        rest = written(named.where("part_a != part_b").unionByName(cross).distinct(), "rest")
-        more = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node"), "node", "left_anti")
-        texts = texts.unionByName(self.texts_of(more, "more-texts"))
-        again = self.confirmed(rest, texts, "more-links").join(rest, ["a", "b"])
-        upper = written(components(again.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))), "upper")
+        again = self.cross_links(members, parts.withColumnRenamed("id", "node"), signs)
+        upper = written(components(again), "upper")
 
         lower = nodes.select("set_a", "set_b", "node").join(parts, F.col("node") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "node").alias("part"))
         final = lower.join(upper, F.col("part") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "part").alias("component"))
