@@ -204,6 +204,8 @@ def run_workload(graph: GraphStore, lines: Iterable[str], timeout: float | None
             status, n = "unknown", 0
         except PathSyntaxError:
             status = "error"
+        except Timeout:
+            status = "timeout"
         except Exception:
             if not (timer is not None and timer.fired.is_set()):
                 raise
