@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 15_000, max_unl
     if len(p) == 0 or len(u) == 0:
         k = 2 * len(FEATURES)
         return QualityModel(np.zeros(k), np.ones(k), [np.zeros((k, 1)), np.zeros(1), np.zeros(1), np.zeros(1)], 0.5)
-    if bad >= 20:
+    if bad >= 3:
         prior = len(p) / (len(p) + bad)
     else:
         first = train(p, u, 0.5, steps=200)
