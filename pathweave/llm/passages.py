@@ -136,9 +136,9 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``n_chars`` is set anew where the column is there. Documents without a span stay as they are.
     """
-    lists = written(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")).withColumnRenamed("doc_id", "cut_id"), "cuts")  # spans of one document
+    lists = written(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__cut_id"), "cuts")  # spans of one document
     names = docs.columns
-    met = docs.join(lists, docs["doc_id"].cast("long") == lists["cut_id"], "left").select(*[docs[c] for c in names], "cuts")
+    met = docs.join(lists, docs["doc_id"].cast("long") == lists["__cut_id"], "left").select(*[docs[c] for c in names], "__cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
