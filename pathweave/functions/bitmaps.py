@@ -37,9 +37,10 @@ def cardinality(bitmaps: DataFrame) -> DataFrame:
 
 
 def to_pairs(bitmaps: DataFrame) -> DataFrame:
-    """The pairs (row, col) of bitmaps, without Python: non-zero bytes, then their bits."""
-    hexes = F.hex("bits")
-    byte = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BUCKET // BYTE - 1)), lambda i: F.struct(i.alias("i"), F.conv(F.substr(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("b"))), lambda x: x["b"] > 0))
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BYTE - 1)), lambda k: F.expr("byte.b").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
-    rows = bitmaps.select("row", "bucket", byte.alias("byte")).select("row", "bucket", "byte", bit.alias("bit"))
-    return rows.select("row", ((F.col("bucket") - 1) * BUCKET + F.col("byte.i") * BYTE + F.col("bit")).cast("long").alias("col"))
+    """The pairs (row, col) of bitmaps, without Python: their non-zero bytes, then the bits of these."""
+    pieces = F.split(F.hex("bits"), r"(?<=\G.{2})")  # two hex digits each
+    found = bitmaps.select("row", "bucket", F.posexplode(pieces).alias("byte", "digits")).where("digits != '00' AND digits != ''")
+    value = F.conv("digits", 16, 10).cast("int")
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BYTE - 1)), lambda k: F.col("value").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
+    rows = found.select("row", "bucket", "byte", value.alias("value")).select("row", "bucket", "byte", bit.alias("bit"))
+    return rows.select("row", ((F.col("bucket") - 1) * BUCKET + F.col("byte") * BYTE + F.col("bit")).cast("long").alias("col"))

@@ -1,0 +1,5 @@
+"""Streams of edges."""
+
+from .reach import ReachableStream
+
+__all__ = ["ReachableStream"]
