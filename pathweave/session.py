@@ -11,23 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+        folder = folder and folder.rsplit("/", 1)[0]
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="pathweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    An iteration that reads its own result this way has a plan of constant size, survives lost executors,
-    and tells the optimizer how large the result is. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}/{tag}"
     top = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     system = top.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(top)
     system.deleteOnExit(top)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    An iteration that reads its own result this way has a plan of constant size, survives lost executors,
+    and tells the optimizer how large the result is.
+    """
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
