@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.session import scratch, shared_dir, written  # noqa: F401  for the operators
+
 #: Bytes of text that numpy code looks at in one go; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 #: Rows in one Arrow batch sent to a Python worker.
@@ -31,39 +31,9 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        folder = folder and folder.rsplit("/", 1)[0]
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pathweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}/{tag}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    top.getFileSystem(conf).mkdirs(top)
-    top.getFileSystem(conf).deleteOnExit(top)
-    return path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, every executor can read it."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def held_out(doc_id: str | Column = "doc_id") -> Column:
+def held_out() -> Column:
     """True for the fold that no model sees: crc32 of the id as text leaves 2 modulo 4."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def sampled(df: DataFrame, key: str, rate: float, seed: int) -> DataFrame:
