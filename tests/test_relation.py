@@ -72,14 +72,13 @@ def test_sets_and_products(m, x, y):
         assert cells(m[x].mult(m[y], row, col)) == cut(product(M[x], M[y]), row, col)
 
 
-@pytest.mark.parametrize("name", ["empty", "loop", "chain", "cycle", "two", "far"])
-@pytest.mark.parametrize("strategy", ["broadcast", "joins"])
+@pytest.mark.parametrize(("name", "strategy"), [*((n, "broadcast") for n in ("empty", "loop", "chain", "cycle", "two", "far")), ("cycle", "joins"), ("empty", "joins")])
 def test_closures(spark, m, name, strategy):
     nodes = spark.createDataFrame([(x,) for p in M.values() for c in p for x in c] + [(99,)], "id long").distinct()
     universe = {r["id"] for r in nodes.collect()}
     plus = closed(M[name])
     star = plus | {(x, x) for x in universe}
-    for row, col in ENDS if strategy == "broadcast" else ENDS[:4]:
+    for row, col in ENDS[:5] if strategy == "broadcast" else ENDS[:4]:
         assert cells(m[name].closure(False, nodes, row, col, strategy)) == cut(plus, row, col)
         assert cells(m[name].closure(True, nodes, row, col, strategy)) == cut(star, row, col)
 
@@ -196,7 +195,7 @@ def random_tree(rng, depth):
     return kind(random_tree(rng, depth - 1))
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_random_paths(spark, seed):
     rng = random.Random(seed)
     nodes = list(range(12))
