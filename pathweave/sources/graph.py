@@ -47,8 +47,11 @@ def label_stats(edges: DataFrame) -> DataFrame:
 
 
 def write_partitioned(edges: DataFrame, path: str) -> None:
-    """A folder for each label, so that a query reads only the labels in it."""
-    edges.repartition("p", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("p", "s", "o").write.partitionBy("p").mode("overwrite").parquet(path)
+    """A folder for each label, so that a query reads only the labels in it.
+
+    Rows are rebalanced by label: labels with few edges share a task, one with many gets several.
+    """
+    edges.hint("rebalance", "p").sortWithinPartitions("p", "s", "o").write.partitionBy("p").mode("overwrite").parquet(path)
 
 
 def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +80,6 @@ class GraphStore:
     edges: DataFrame
     nodes: DataFrame
     _stats: dict[str, tuple[int, int, int]] | None = field(default=None, repr=False)
-    _labels: set[str] | None = field(default=None, repr=False)
 
     @classmethod
     def from_edges(cls, edges: DataFrame, nodes: DataFrame | None = None) -> GraphStore:
@@ -119,15 +121,15 @@ class GraphStore:
         """
         if self._stats is None:
             counts = F.count("*").alias("n_edges"), F.approx_count_distinct("s").alias("n_src"), F.approx_count_distinct("o").alias("n_dst")
-            rows = self.edges.groupBy("p").agg(*counts).limit(MOST_LABELS).collect()
+            rows = self.edges.groupBy("p").agg(*counts).limit(MOST_LABELS + 1).collect()
+            if len(rows) > MOST_LABELS:
+                raise ValueError(f"the graph has more than {MOST_LABELS} labels")
             self._stats = {r["p"]: (r["n_edges"], r["n_src"], r["n_dst"]) for r in rows}
         return self._stats
 
     def labels(self) -> set[str]:
         """The labels that edges have."""
-        if self._labels is None:
-            self._labels = set(self._stats) if self._stats is not None else {r["p"] for r in self.edges.select("p").distinct().limit(MOST_LABELS).collect()}
-        return self._labels
+        return set(self.stats())
 
     def node_id(self, term: str | int) -> int | None:
         """The id of a constant: an id, or a term with or without <>; None if the graph doesn't have it."""
