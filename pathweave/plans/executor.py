@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pathweave.operators.propagate import Timeout, check
 from pathweave.operators.relation import BoolMatrix
@@ -23,6 +24,9 @@ from .parser import PathSyntaxError, parse_path, parse_query
 from .rewrite import simplify
 
 CLOSURES = (Star, Plus)
+#: From this many estimated pairs on, a relation is not shuffled to meet a bound query's few pairs: these
+#: are counted, and up to FRONTIER of them (16 bytes each) are sent to where the relation is scanned.
+LARGE, FRONTIER = 10_000_000, 200_000
 
 
 @dataclass
@@ -110,9 +114,19 @@ class Solver:
         """From the bound row through all parts; the last meets the column."""
         found = self.evaluate(parts[0], row, col if len(parts) == 1 else None)
         for i, part in enumerate(parts[1:], 1):
+            if not isinstance(part, CLOSURES) and self._estimate(part) >= LARGE:
+                found = self._sent(found)
             found = self._after(found, part, col if i == len(parts) - 1 else None)
         return found
 
+    def _sent(self, found: BoolMatrix) -> BoolMatrix:
+        """The pairs as a broadcast table if they are few, else as they are."""
+        check(self._deadline)
+        pairs = found.pairs.limit(FRONTIER + 1).toArrow()
+        if pairs.num_rows > FRONTIER:
+            return found
+        return BoolMatrix(F.broadcast(self.graph.spark.createDataFrame(pairs)), found.dims)
+
     def _after(self, found: BoolMatrix, part: Path, col: int | None = None) -> BoolMatrix:
         """``found`` times one more part; closures and options need no relation of their own."""
         if isinstance(part, CLOSURES):

@@ -208,6 +208,23 @@ def test_random_paths(spark, seed):
             assert cells(Solver(graph, engine=engine).solve(row, tree, col)) == cut(want, row, col), (tree, row, col, engine)
 
 
+@pytest.mark.parametrize("frontier", [0, 1000])
+def test_few_pairs_are_sent_to_large_relations(spark, monkeypatch, frontier):
+    executor = importlib.import_module("pathweave.plans.executor")
+    monkeypatch.setattr(executor, "LARGE", 0)
+    monkeypatch.setattr(executor, "FRONTIER", frontier)
+    edges = {(1, "p", 2), (1, "p", 3), (2, "q", 4), (3, "q", 4), (4, "r", 1), (9, "q", 4)}
+    graph = GraphStore.from_edges(spark.createDataFrame(sorted(edges), "s long, p string, o long"))
+    tree = Concat((Label("p"), Label("q"), Opt(Label("r"))))
+    want = search(edges, range(10), tree)
+    solver = Solver(graph)
+    found = solver.solve(1, tree, None)
+    assert cells(found) == cut(want, 1, None) == {(1, 4), (1, 1)}
+    assert cells(solver.solve(None, tree, 1)) == cut(want, None, 1)
+    plan = found.pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(frontier)
+
+
 def test_workload(spark):
     edges = spark.createDataFrame([(1, "p", 2), (2, "p", 3)], "s long, p string, o long")
     graph = GraphStore.from_edges(edges)
