@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, sampled, text_chunks
+from .common import held_out, mix64, text_chunks
 
 #: Characters in an n-gram; letters only, with one space for each stretch of other characters.
 N = 4
@@ -158,18 +158,12 @@ def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: i
     wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(rate)) for lang, rate in rates])
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < wanted * 1_000_000)
     counts = sample.select("text", "lang").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    many = F.when(F.lit(sum(min(max_texts, s) for s in sizes.values()) < 50 * len(sizes)), F.lit(1)).otherwise(F.lit(min_count))
-    kept = counts.where(F.col("n") >= many)
-    got: dict[str, np.ndarray] = {}
-    for lang in languages:
-        top = kept.where(F.col("lang") == lang).select("gram", "n") if len(languages) > 64 else None
-        if top is not None:
-            got[lang] = top.orderBy(F.desc("n"), "gram").limit(max_grams).toArrow().column("gram").to_numpy().view(np.uint64)
-    if not got:
-        rows = kept.toArrow()
-        frame = rows.to_pandas().sort_values(["lang", "n", "gram"], ascending=[True, False, True])
-        for lang, part in frame.groupby("lang"):
-            got[lang] = part["gram"].to_numpy()[:max_grams].view(np.uint64)
+    # Of a very small sample every n-gram counts.
+    few = sum(min(max_texts, s) for s in sizes.values()) < 50 * len(sizes)
+    kept = counts.where(F.col("n") >= (1 if few else min_count))
+    # What comes here is the n-grams of the bounded sample.
+    frame = kept.toArrow().to_pandas().sort_values(["lang", "n", "gram"], ascending=[True, False, True])
+    got = {lang: part["gram"].to_numpy()[:max_grams].view(np.uint64) for lang, part in frame.groupby("lang")}
     most = max((len(g) for g in got.values()), default=1)
     size = 1 << max(10, math.ceil(math.log2(max(1, most) * bits_per_gram)))
     filters = LanguageFilters(languages, np.zeros((size, (len(languages) + 7) // 8), np.uint8), 3, np.zeros(len(languages)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, chunk_dedup, fingerprints, language_id, near_dedup, packing, quality, quality_rules, suffix_dedup, warc
 from .common import held_out, table

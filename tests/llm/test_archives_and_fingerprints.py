@@ -3,7 +3,6 @@
 import hashlib
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
