@@ -6,6 +6,8 @@ as the next stage's ``docs``. All but the last return the columns of ``documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +15,32 @@ from pathweave.llm import chunk_dedup, language_id, near_dedup, packing, quality
 from pathweave.llm.common import table, tune, written
 from pathweave.llm.queries import tokenizer_file
 
-#: A text whose best language explains less than this share of its n-grams is in no known language.
-LEAST_KNOWN = 0.2
+#: A text of so many n-grams or more whose best language explains less than this share of them is in no
+#: known language. Of shorter texts nothing is concluded.
+LEAST_GRAMS, LEAST_KNOWN = 40, 0.2
+
+
+def _aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of the names that an operator adds under other names, and the way back."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in added}
+    return docs.withColumnsRenamed(own), lambda df: df.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no learned language explains."""
     tune(spark)
-    names = docs.columns
-    out = language_id.identify(docs, language_id.fit(docs))
-    return out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("known_share") >= LEAST_KNOWN)).select(*names)
+    free, back = _aside(docs, ["lang_pred", "score", "known_share", "n_grams"])
+    out = language_id.identify(free, language_id.fit(docs))
+    known = (F.col("known_share") >= LEAST_KNOWN) | (F.col("n_grams") < LEAST_GRAMS)
+    return out.where((F.col("lang_pred") != language_id.UNDETERMINED) & known).transform(back)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that the positive-unlabelled classifier doesn't predict to be good."""
     tune(spark)
-    names = docs.columns
+    free, back = _aside(docs, ["score", "predicted"])
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*names)
+    return quality.score(free, model).where("predicted = 1").transform(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,8 +94,8 @@ class LanguageFilters:
                 out = out & self.slots[(h & m).astype(np.int64)]
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and corrected share of the best language for each text.
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, corrected share of the best language, and number of n-grams for each text.
 
         The score is the winner's part of the corrected shares of the best two languages, times how
         much of the text its filter explains. A text without a letter is ``und`` with score 0.
@@ -116,7 +116,7 @@ class LanguageFilters:
             score = np.where(top > 0, top * top / (top + second), 0.0)
         known = (letters > 0) & (k > 0)
         langs = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
-        return langs, np.where(known, np.clip(score, 0, 1), 0.0), np.where(known, top, 0.0)
+        return langs, np.where(known, np.clip(score, 0, 1), 0.0), np.where(known, top, 0.0), np.bincount(doc, minlength=n)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +142,19 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: int = 200_000, bits_per_gram: int = 16) -> LanguageFilters:
+def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: int = 200_000, bits_per_gram: int = 16, least_share: float = 0.03) -> LanguageFilters:
     """Learn the filters from ``text`` and ``lang`` of the rows outside the held-out fold.
 
     ``max_texts`` bounds the texts of one language that are read, ``max_grams`` the n-grams of one
-    language that are kept (the most frequent). Rows with a null text or language teach nothing;
+    language that are kept (the most frequent). An n-gram is kept for a language if it makes up at least
+    ``least_share`` of what it makes up where it is most frequent. Rows with a null text or language teach nothing;
     without any such row the filters are empty and every text is ``und``.
     """
     docs = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageFilters([], np.zeros((1, 1), np.uint8), 1, np.zeros(1))
-    languages = sorted(sizes)
+    languages = sorted(sizes, key=lambda x: (-sizes[x], x))  # of equal shares the more frequent language wins
     rates = [(lang, min(1.0, max_texts / sizes[lang])) for lang in languages]
     wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(rate)) for lang, rate in rates])
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < wanted * 1_000_000)
@@ -161,8 +162,11 @@ def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: i
     # Of a very small sample every n-gram counts.
     few = sum(min(max_texts, s) for s in sizes.values()) < 50 * len(sizes)
     kept = counts.where(F.col("n") >= (1 if few else min_count))
-    # What comes here is the n-grams of the bounded sample.
+    # What comes here is the n-grams of the bounded sample. One that another language has many times as
+    # often is a quotation or a wrong mark, and is not taken for the language's own.
     frame = kept.toArrow().to_pandas().sort_values(["lang", "n", "gram"], ascending=[True, False, True])
+    share = frame["n"] / frame.groupby("lang")["n"].transform("sum")
+    frame = frame[share >= least_share * share.groupby(frame["gram"]).transform("max")]
     got = {lang: part["gram"].to_numpy()[:max_grams].view(np.uint64) for lang, part in frame.groupby("lang")}
     most = max((len(g) for g in got.values()), default=1)
     size = 1 << max(10, math.ceil(math.log2(max(1, most) * bits_per_gram)))
@@ -181,23 +185,23 @@ def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: i
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``known_share`` to the columns ``keep`` of ``docs``.
+    """Add ``lang_pred``, ``score``, ``known_share`` and ``n_grams`` to the columns ``keep`` of ``docs``.
 
     Every row is scored on its whole text. Null and empty texts, and texts without a letter, get
     ``und`` and 0. Repeated rows get equal results; columns of the same names are replaced.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "known_share")]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "known_share", "n_grams")]
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by max_grams and the languages
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "known_share double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "known_share double", "n_grams long"])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part, texts in text_chunks(batch):
-                langs, score, share = model.predict(texts.to_pylist())
+                langs, score, share, size = model.predict(texts.to_pylist())
                 cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score), pa.array(share)], [*keep, "lang_pred", "score", "known_share"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score), pa.array(share), pa.array(size.astype(np.int64))], [*keep, "lang_pred", "score", "known_share", "n_grams"])
 
     return source.mapInArrow(run, schema)

@@ -175,4 +175,5 @@ def test_pipeline_on_odd_rows(spark, odd, none, sf, tmp_path):
             path = str(tmp_path / f"{id(read)}")
             read.write.parquet(path)
             read = spark.read.parquet(path)
+            assert {(r["score"], r["node"], r["cuts"]) for r in read.collect()} <= {(1, "x", 8)}
         corpus_pipeline.STAGES[-1][1](spark, read, sf).count()
