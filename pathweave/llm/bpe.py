@@ -201,7 +201,7 @@ LONG_PIECE = 400
 class Encoder:
     """Encodes texts of one vocabulary; keeps at most ``cache`` pieces of up to LONG_PIECE bytes."""
 
-    def __init__(self, vocab: Vocabulary, cache: int = 600_000) -> None:
+    def __init__(self, vocab: Vocabulary, cache: int = 400_000) -> None:
         self.vocab, self.cache = vocab, cache
         self.bytes_to_id = np.array([vocab.whole[bytes([b])] for b in range(256)], np.int64)
         self._clear()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pathweave.session import scratch, shared_dir, written  # noqa: F401  for the operators
 
 #: Bytes of text that numpy code looks at in one go; one longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows in one Arrow batch sent to a Python worker.
 ARROW_ROWS = 512
 
