@@ -1,32 +1,25 @@
-"""Substring deduplication by content-defined chunks.
-
-A gear rolling hash runs over the bytes of each text; a chunk ends where the hash, which depends on
-the last 32 bytes alone, has its top bits zero. Insertions therefore move chunk borders only near
-themselves, and chunks further on keep their digests. Chunks are deduplicated by digest: each digest
-keeps its first place (least document, least offset), all other places refer to it. A stretch of
-chunks that lie in the same way in both documents is a seed; it is extended over the ragged ends that
-chunking leaves and counts as a repeated passage from ``MIN_WORDS`` words on.
+"""Substring deduplication by content-defined chunks of words.
+
+Every window of ``MIN_WORDS`` words is anchored at its word gram of least hash; a chunk is all windows of
+one anchor in a row. Insertions therefore move chunks only near themselves. Chunks whose anchor stands in
+one text only are dropped; of the others all windows get a digest, and each digest refers the texts that
+hold it to the least of them. No passage of ``MIN_WORDS`` words can hide: a window that stands in two
+texts has the same anchor and digest in both (see :mod:`.passages`).
+
+``gear_hashes`` and ``chunk_ends`` cut texts at bytes, with no regard to words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .common import span_hashes, text_chunks, utf8, words_of, written
-from .passages import MIN_WORDS, cut_out, matches, occurrences
+from .passages import MIN_WORDS, cut_out, matches, occurrences, pairs
 
 #: A chunk ends where so many top bits of the hash are zero; sizes in bytes; 52 on average.
 BITS, LEAST, MOST = 5, 20, 128
 #: Bytes that the hash depends on.
 WINDOW = 32
-#: Words that a stretch of repeated chunks must have to be looked at: what is left of MIN_WORDS words
-#: when a chunk is lost at either end.
-SEED_WORDS = 12
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -73,44 +66,6 @@ def chunk_ends(buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: doc (id), k (number in the text), at (byte offset), words (that begin in it), digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_chunks(batch):
-                buf, offsets = utf8(texts)
-                ends = chunk_ends(buf, offsets)
-                n = np.fromiter(map(len, ends), np.int64, len(ends))
-                doc = np.repeat(np.arange(len(n)), n)
-                k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                end = np.fromiter((e for x in ends for e in x), np.int64, len(doc))
-                at = np.where(k > 0, np.concatenate([[0], end[:-1]]), 0) if len(end) else end
-                starts, _, _ = words_of(buf, offsets)
-                a, b = at + offsets[doc], end + offsets[doc]
-                words = np.searchsorted(starts, b) - np.searchsorted(starts, a)
-                digest = span_hashes(buf, a, b).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (k, at, words)), pa.array(digest)], ["doc", "k", "at", "words", "digest"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return rows.mapInArrow(run, "doc long, k int, at int, words int, digest long")
-
-
-def seeds(docs: DataFrame) -> DataFrame:
-    """Places (doc, at) and (other, other_at) in which long enough stretches of repeated chunks begin."""
-    cut = chunks(docs)
-    first = cut.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1")
-    first = written(first.select("digest", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at")), "repeated")
-    again = written(cut.join(first, "digest").select("doc", "k", "at", "words", "other", "other_at"), "again")
-    # Stretches of chunks that all are repeated, then the parts of them that lie alike in one other text.
-    by_doc = Window.partitionBy("doc").orderBy("k", "at")
-    rows = again.withColumn("run", F.col("k") - F.row_number().over(by_doc))
-    rows = rows.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc", "run"))).where(F.col("run_words") >= SEED_WORDS)
-    rows = rows.where("doc != other")
-    parts = rows.groupBy("doc", "other", (F.col("at") - F.col("other_at")).alias("shift"), "run").agg(F.min("at").alias("at"))
-    return parts.select("doc", "other", "at", (F.col("at") - F.col("shift")).alias("other_at"))
-
-
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each span of a document that is a passage of another one too: doc_id, start, end, n_words,
     other_id, other_start.
@@ -120,7 +75,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     nor have rows without a doc_id. Of rows that share a doc_id the least text counts. Columns other than
     doc_id and text are not looked at.
     """
-    return occurrences(matches(docs, seeds(docs), min_words, "chunks"))
+    return occurrences(matches(*pairs(docs, min_words, "chunks"), min_words, "chunks"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Exact repeated passages: seeds found by an index are extended on the texts themselves.
+"""Exact repeated passages: pairs of texts found by an index are compared on the texts themselves.
 
-Both deduplication by chunks and by suffixes end here. A seed says that two texts are likely to match
-around two places; the match is compared byte by byte, extended to the left and right as far as it
-goes, cut to whole words, and kept if it has enough words.
+Both deduplication by chunks and by suffixes end here. Every window of ``min_words`` words that stands in
+two texts puts its text and the least that has it in one pair; in a pair all common windows are looked
+up, each match is compared byte by byte, extended to the left and right as far as it goes and cut to
+whole words.
+
+Which windows can repeat is told by their anchors: the word gram with the least hash of all in the
+window. It depends on the window alone, so a window whose anchor stands in one text only is in no other.
 """
 
 from __future__ import annotations
@@ -11,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import span_hashes, text_chunks, utf8, words_of, written
 
 #: A passage counts when it has this many words: over 50.
 MIN_WORDS = 51
@@ -78,39 +83,132 @@ def texts_of(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
     return written(rows.groupBy("doc_id").agg(F.min("text").alias("text")), f"{tag}-texts")
 
 
-def matches(docs: DataFrame, seeds: DataFrame, min_words: int, tag: str) -> DataFrame:
-    """All passages of ``min_words`` words or more around the seeds.
+def window_spans(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of ``texts``, and of each window of ``width`` words its text, number in it, start and end."""
+    buf, offsets = utf8(texts)
+    starts, ends, before = words_of(buf, offsets)
+    n = np.maximum(np.diff(before) - width + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    word = before[doc] + k
+    return buf, doc, k, starts[word], ends[word + width - 1]
+
+
+def anchors(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all windows: text, hash of the gram, first and last window that it is the anchor of.
 
-    ``seeds`` has doc, other (ids), at, other_at (byte places in the UTF-8 texts). Returns doc_id,
-    start, end (bytes), n_words, other_id, other_start for ``doc``'s side of each match.
+    Of grams with equal hashes the rightmost is taken, so that a run of one repeated word has few anchors.
     """
-    grouped = written(seeds.groupBy("doc", "other").agg(F.collect_set(F.struct("at", "other_at")).alias("places")), f"{tag}-seeds")  # of one pair of texts
-    texts = texts_of(docs, grouped.select(F.explode(F.array("doc", "other"))), tag)
-    met = grouped.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("text_a")), "doc")
+    span = max(1, width * 5 // 8)
+    buf, doc, k, start, end = window_spans(texts, width - span + 1)  # grams
+    grams = span_hashes(buf, start, end)
+    best, size = np.arange(len(grams)), 1
+    while size < span:
+        step = min(size, span - size)
+        left, right = best[:-step], best[step:]
+        best = np.append(np.where(grams[right] <= grams[left], right, left), best[max(0, len(best) - step) :])
+        size += step
+    n = np.bincount(doc, minlength=len(texts))
+    at = np.flatnonzero(k + span <= n[doc])  # first grams of windows
+    first = np.flatnonzero(np.diff(best[at], prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    return doc[at[first]], grams[best[at[first]]].view(np.int64), k[at[first]], k[at[last[: len(first)]]]
+
+
+def pairs(docs: DataFrame, width: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (doc, other) of texts with a common window, and the ``doc_id`` and ``text`` of all in them.
+
+    Each window that stands in several texts has pairs of the least of them with all others.
+    """
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                doc, gram, first, last = anchors(texts, width)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "gram", "first", "last"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    grams = rows.mapInArrow(anchored, "doc long, gram long, first int, last int")  # taken twice from the texts, which costs less than keeping them
+    several = lambda r, key: r.groupBy(key).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high")
+    shared = written(several(grams, "gram").select("gram"), f"{tag}-grams")
+    again = grams.join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = written(again, f"{tag}-runs")
+    texts = texts_of(docs, runs.select("doc"), tag)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, held in text_chunks(batch):
+                buf, doc, k, start, end = window_spans(held, width)
+                base = np.searchsorted(doc, np.arange(len(held) + 1))
+                keep = np.zeros(len(doc) + 1, np.int64)
+                places = part.column(1)
+                owner = np.repeat(np.arange(len(held)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                first, last = (places.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                # Runs may be of another text with the same id: they stay inside this one.
+                np.add.at(keep, np.minimum(base[owner] + first, base[owner + 1]), 1)
+                np.add.at(keep, np.minimum(base[owner] + last + 1, base[owner + 1]), -1)
+                at = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(span_hashes(buf, start[at], end[at]).view(np.int64))], ["doc", "digest"])
+
+    windows = runs.join(texts, runs["doc"] == texts["doc_id"]).select("doc", "runs", "text").mapInArrow(digests, "doc long, digest long")
+    repeated = written(several(windows, "digest").select("digest", F.col("low").alias("other")), f"{tag}-windows")
+    found = windows.join(repeated, "digest").where("doc != other").select("doc", "other").distinct()
+    return written(found, f"{tag}-pairs"), texts
+
+
+def _starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of ``a`` that lie alike in ``b``, each window on its first place there: first window
+    in ``a``, that in ``b``, and windows in the run."""
+    order = np.argsort(b, kind="stable")
+    at = order[np.minimum(np.searchsorted(b[order], a), len(b) - 1)]
+    i = np.flatnonzero(b[at] == a)
+    j = at[i]
+    first = np.flatnonzero((np.diff(i, prepend=-2) != 1) | (np.diff(j, prepend=-2) != 1))
+    return i[first], j[first], np.diff(np.append(first, len(i)))
+
+
+def matches(pairs: DataFrame, texts: DataFrame, min_words: int, tag: str) -> DataFrame:
+    """All passages of ``min_words`` words or more that the texts of the pairs (doc, other) have in common.
+
+    Returns doc_id, start, end (bytes), n_words, other_id, other_start for ``doc``'s side of each match. Of a
+    passage that stands several times in a text, each place is in a match, but not all with each other.
+    """
+    met = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("text_a")), "doc")
     met = met.join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_b")), "other")
     names = ["doc_id", "start", "end", "n_words", "other_id", "other_start"]
 
+    def digested(texts: pa.StringArray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        buf, doc, _, start, end = window_spans(texts, min_words)
+        digest = span_hashes(buf, start, end)
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        base = utf8(texts)[1]
+        return [(digest[x:y], start[x:y] - o, end[x:y] - o) for x, y, o in zip(cuts[:-1], cuts[1:], base[:-1], strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts_b in text_chunks(batch, "text_b", 1_000_000):
                 rows: list[tuple[int, ...]] = []
-                for doc, other, text_a, text_b, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts_b.to_pylist(), part.column(4).to_pylist(), strict=True):
+                texts_a = part.column(2).cast(pa.string())
+                sides = zip(digested(texts_a), digested(texts_b), strict=True)
+                for doc, other, text_a, text_b, (x, y) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_a.to_pylist(), texts_b.to_pylist(), sides, strict=True):
+                    if not len(x[0]) or not len(y[0]):
+                        continue
                     a, b = text_a.encode(), text_b.encode()
-                    done: set[tuple[int, int, int]] = set()
-                    for place in sorted(places, key=lambda p: (p["at"] - p["other_at"], p["at"])):
-                        at, shift = place["at"], place["other_at"] - place["at"]
-                        if at >= len(a) or at + shift >= len(b) or any(s <= at < e and k == shift for s, e, k in done):
-                            continue
-                        found = extend(a, b, at, at + shift)
-                        if found is None:
+                    i, j, n = _starts(x[0], y[0])
+                    i2, j2, n2 = _starts(y[0], x[0])
+                    i, j, n = np.append(i, j2), np.append(j, i2), np.append(n, n2) - 1
+                    done: list[tuple[int, int, int]] = []
+                    for s, e, t, u in zip(x[1][i].tolist(), x[2][i + n].tolist(), y[1][j].tolist(), y[2][j + n].tolist(), strict=True):
+                        # Both places of the run may be in matches already, if with other places (a run of one word).
+                        if any(p <= s and e <= q for p, q, _ in done) and any(p + d <= t and u <= q + d for p, q, d in done):
                             continue
-                        start, end, words = found
-                        done.add((start, end, shift))
-                        if words >= min_words:
-                            rows.append((doc, start, end, words, other, start + shift))
+                        found = extend(a, b, s, t)
+                        if found is not None and found[2] >= min_words:
+                            done.append((found[0], found[1], t - s))
+                            rows.append((doc, *found, other, found[0] + t - s))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
 
-    out = met.select("doc", "other", "text_a", "text_b", "places").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    out = met.select("doc", "other", "text_a", "text_b").mapInArrow(run, ", ".join(f"{n} long" for n in names))
     return written(out.distinct(), f"{tag}-matches")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, span_hashes, text_chunks, utf8, words_of, written
-from .passages import MIN_WORDS, cut_out, matches, occurrences
+from .passages import MIN_WORDS, cut_out, matches, occurrences, texts_of
 
 #: Words of a gram, and word positions of which the one with the least gram is kept.
 GRAM, SPAN = 8, 32
@@ -152,7 +152,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     without such a passage have no row; null and empty texts have none, nor have rows without a doc_id.
     Of rows that share a doc_id the least text counts. Columns other than doc_id and text are not looked at.
     """
-    return occurrences(matches(docs, seeds(docs), min_words, "suffixes"))
+    met = written(seeds(docs).select("doc", "other").where("doc != other").distinct(), "suffixes-pairs")
+    texts = texts_of(docs, met.select(F.explode(F.array("doc", "other"))), "suffixes")
+    return occurrences(matches(met, texts, min_words, "suffixes"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

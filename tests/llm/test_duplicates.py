@@ -175,6 +175,49 @@ def test_planted_passages(spark, operator):
     assert got == long
 
 
+def covered(rows, texts):
+    """Numbers of the words of each text that are in a span."""
+    out = collections.defaultdict(set)
+    for r in rows:
+        first = len(texts[r["doc_id"]].encode()[: r["start"]].split())
+        out[r["doc_id"]].update(range(first, first + r["n_words"]))
+    return dict(out)
+
+
+def brute_cover(texts, k=51):
+    """Numbers of the words of each text that are in k words in a row which stand in another text."""
+    places = collections.defaultdict(list)
+    for i, t in texts.items():
+        words = t.split()
+        for j in range(len(words) - k + 1):
+            places[tuple(words[j : j + k])].append((i, j))
+    out = collections.defaultdict(set)
+    for held in places.values():
+        if len({i for i, _ in held}) > 1:
+            for i, j in held:
+                out[i].update(range(j, j + k))
+    return dict(out)
+
+
+def edited_copies(n, share, seed):
+    rng = random.Random(seed)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(300)]
+    return {i: " ".join(f"v{rng.randrange(10**7)}" if rng.random() < share else w for w in base) for i in range(n)}
+
+
+def found_spans(spark, operator, texts):
+    rows = operator.repeated_passages(docs_of(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])).collect()
+    check_spans(rows, texts)
+    return covered(rows, texts)
+
+
+@pytest.mark.parametrize("operator", [chunk_dedup])
+def test_passages_of_edited_copies(spark, operator):
+    for share in (0.02, 0.05):
+        texts = edited_copies(200, share, 4)
+        assert found_spans(spark, operator, texts) == brute_cover(texts)
+
+
 def test_gear_hash_is_a_rolling_hash():
     raw = np.frombuffer(b"some bytes that roll through a window " * 4, np.uint8)
     got = chunk_dedup.gear_hashes(raw, np.array([0, 50, len(raw)]))
