@@ -205,6 +205,18 @@ def edited_copies(n, share, seed):
     return {i: " ".join(f"v{rng.randrange(10**7)}" if rng.random() < share else w for w in base) for i in range(n)}
 
 
+def short_passages(n, seed):
+    """Pairs of texts with one passage of 51 words of a letter or two, the rest random."""
+    rng = random.Random(seed)
+    words = lambda n: [f"{rng.choice('abcdefghijklmnopqrst')}{rng.choice(['', *'abcdefghi'])}" for _ in range(n)]
+    texts = {}
+    for k in range(n):
+        passage = words(51)
+        for copy in range(2):
+            texts[2 * k + copy] = " ".join([*words(rng.randint(0, 60)), *passage, *words(rng.randint(0, 60))])
+    return texts
+
+
 def found_spans(spark, operator, texts):
     rows = operator.repeated_passages(docs_of(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])).collect()
     check_spans(rows, texts)
@@ -218,6 +230,21 @@ def test_passages_of_edited_copies(spark, operator):
         assert found_spans(spark, operator, texts) == brute_cover(texts)
 
 
+def test_short_passages(spark):
+    texts = short_passages(1500, 5)
+    want = brute_cover(texts)
+    assert len(want) == len(texts)
+    assert found_spans(spark, chunk_dedup, texts) == want
+
+
+def test_repeats_of_repeats(spark):
+    """A passage that one of two texts holds more than once, and runs of one word of different lengths."""
+    texts = short_passages(3, 6)
+    passage = " ".join(f"p{i}" for i in range(55))
+    texts |= {10: f"a {passage} b", 11: f"c {passage} d {passage} e", 12: f"{passage} f {passage}", 20: "w " * 300, 21: "x " + "w " * 80, 22: "y " + "w " * 2000}
+    assert found_spans(spark, chunk_dedup, texts) == brute_cover(texts)
+
+
 def test_gear_hash_is_a_rolling_hash():
     raw = np.frombuffer(b"some bytes that roll through a window " * 4, np.uint8)
     got = chunk_dedup.gear_hashes(raw, np.array([0, 50, len(raw)]))
