@@ -1,35 +1,24 @@
 """Substring deduplication by a sparse suffix array.
 
-Of all suffixes of all texts only those at minimiser positions are kept: of every ``SPAN`` word
-positions in a row, the one whose ``GRAM``-word gram has the least hash. The choice depends on the
-words alone, so a passage that repeats has the same suffixes kept in all its copies, and a passage of
-``SPAN + GRAM - 1`` words or more has one at least. The suffixes are sorted by what follows them (hashes
-of word blocks of growing length, most significant first), over the whole corpus; each is compared
-with its neighbours in that order, and the longer common prefix is the seed of a match that is then
-extended to the right and to the left on the texts.
-
-Sorting is a range partitioning: suffixes with a common beginning may fill as many partitions as
-they need.
+Of all suffixes of all texts (at word starts) only those are kept whose first ``MIN_WORDS`` words may
+repeat: their anchor, the word gram of least hash in them, stands in two texts. Suffixes with equal first
+``MIN_WORDS`` words are a run of the suffix order, whatever else it sorts by; a run is one hash of these
+words. The least text of each run meets all others in it, wherever in the run they stand, and a text that
+is in the run more than once meets it with each of its places (see :mod:`.passages`). So no neighbour is
+lost at a partition's edge, and the result doesn't depend on how many partitions there are.
+
+``minimisers`` keeps of every ``SPAN`` word positions in a row the one with the least gram.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import mix64, span_hashes, text_chunks, utf8, words_of, written
-from .passages import MIN_WORDS, cut_out, matches, occurrences, texts_of
+from .passages import MIN_WORDS, cut_out, matches, occurrences, pairs
 
-#: Words of a gram, and word positions of which the one with the least gram is kept.
-GRAM, SPAN = 8, 32
-#: Words of the blocks by which suffixes are ordered; the first is the gram.
-BLOCKS = (8, 8, 16, 32)
-#: The order of suffixes; blocks past the end of a text are 0.
-ORDER = ["b0", "b1", "b2", "b3", "doc", "at"]
+#: Word positions of which the one with the least gram is kept.
+SPAN = 32
 
 
 def minimisers(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -59,91 +48,6 @@ def minimisers(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.unique(best[full])
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """The kept suffixes: doc, at (byte offset), and the hashes b0 to b3 of the blocks that follow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_chunks(batch):
-                buf, offsets = utf8(texts)
-                starts, ends, before = words_of(buf, offsets)
-                n = len(starts)
-                doc = np.repeat(np.arange(len(texts)), np.diff(before))
-                words = span_hashes(buf, starts, ends)
-                # Hashes of 2**i words from each position on, 0 from where the text has no more.
-                with np.errstate(over="ignore"):
-                    runs = {1: words}
-                    width = 1
-                    while width < max(BLOCKS):
-                        half, both = runs[width], np.zeros(n, np.uint64)
-                        at = np.arange(n - width) if n > width else np.zeros(0, np.int64)
-                        at = at[doc[at] == doc[at + width]]
-                        at = at[half[at + width] != 0]
-                        both[at] = mix64(half[at] * np.uint64(0x9E6C63D0876A9A47) + half[at + width]) | np.uint64(1)
-                        width *= 2
-                        runs[width] = both
-                grams = runs[GRAM]
-                have = np.flatnonzero(grams)
-                kept = have[minimisers(grams[have], doc[have])]
-                columns, ahead = [], 0
-                for block in BLOCKS:
-                    place = kept + ahead
-                    inside = (place < n) & (doc[np.minimum(place, n - 1)] == doc[kept]) if n else np.zeros(0, bool)
-                    values = np.where(inside, runs[block][np.minimum(place, max(n - 1, 0))], np.uint64(0)) if n else np.zeros(0, np.uint64)
-                    columns.append(values.view(np.int64))
-                    ahead += block
-                at = (starts[kept] - offsets[doc[kept]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[kept])), pa.array(at), *map(pa.array, columns)], ["doc", "at", "b0", "b1", "b2", "b3"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return rows.mapInArrow(run, "doc long, at int, b0 long, b1 long, b2 long, b3 long")
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of suffixes in order, each with the neighbour in another text that it shares most blocks with."""
-    names = ["doc", "at", "other", "other_at"]
-    tail: pa.Table | None = None
-
-    def pairs(table: pa.Table, new_from: int) -> pa.RecordBatch:
-        b = [table.column(f"b{i}").to_numpy() for i in range(4)]
-        doc, at = table.column("doc").to_numpy(), table.column("at").to_numpy()
-        # Common blocks of each row with the row before.
-        common, same = np.zeros(len(doc), np.int64), np.ones(max(len(doc) - 1, 0), bool)
-        for x in b:
-            same = same & (x[1:] == x[:-1]) & (x[1:] != 0)
-            common[1:] += same
-        up = np.where(np.append(False, doc[1:] != doc[:-1]), common, 0)
-        down = np.append(up[1:], 0)
-        # The pair of a row with the one before stands if it is the best of either.
-        best = np.maximum(up, down)
-        rows = np.flatnonzero((up > 0) & ((up == best) | (up == np.append(0, best[:-1]))))
-        rows = rows[rows >= new_from]
-        i, j = rows, rows - 1
-        flip = doc[i] < doc[j]
-        i, j = np.where(flip, j, i), np.where(flip, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(at[i]), pa.array(doc[j]), pa.array(at[j])], names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        whole = table if tail is None else pa.concat_tables([tail, table]).combine_chunks()
-        yield pairs(whole, 1 if tail is None else tail.num_rows)
-        tail = whole.slice(max(0, whole.num_rows - 2))
-
-
-def seeds(docs: DataFrame) -> DataFrame:
-    """Pairs of suffix places (doc, at), (other, other_at) next to each other in suffix order."""
-    kept = suffixes(docs)  # taken twice from the texts, which costs less than keeping them
-    # What begins like no other suffix can have no match; counting first keeps the sort to the rest.
-    shared = written(kept.groupBy("b0").agg(F.count("*").alias("n")).where("n > 1").select("b0"), "shared")
-    rows = written(kept.join(shared, "b0").select("doc", "at", "b0", "b1", "b2", "b3"), "shared-suffixes")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
-    found = rows.mapInArrow(_compared, "doc long, at int, other long, other_at int")
-    return found.distinct()
-
-
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each span of a document that is a passage of another one too: doc_id, start, end, n_words,
     other_id, other_start.
@@ -152,9 +56,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     without such a passage have no row; null and empty texts have none, nor have rows without a doc_id.
     Of rows that share a doc_id the least text counts. Columns other than doc_id and text are not looked at.
     """
-    met = written(seeds(docs).select("doc", "other").where("doc != other").distinct(), "suffixes-pairs")
-    texts = texts_of(docs, met.select(F.explode(F.array("doc", "other"))), "suffixes")
-    return occurrences(matches(met, texts, min_words, "suffixes"))
+    return occurrences(matches(*pairs(docs, min_words, "suffixes"), min_words, "suffixes"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -237,12 +237,24 @@ def test_short_passages(spark):
     assert found_spans(spark, chunk_dedup, texts) == want
 
 
-def test_repeats_of_repeats(spark):
+@pytest.mark.parametrize("operator", [chunk_dedup])
+def test_repeats_of_repeats(spark, operator):
     """A passage that one of two texts holds more than once, and runs of one word of different lengths."""
     texts = short_passages(3, 6)
     passage = " ".join(f"p{i}" for i in range(55))
     texts |= {10: f"a {passage} b", 11: f"c {passage} d {passage} e", 12: f"{passage} f {passage}", 20: "w " * 300, 21: "x " + "w " * 80, 22: "y " + "w " * 2000}
-    assert found_spans(spark, chunk_dedup, texts) == brute_cover(texts)
+    assert found_spans(spark, operator, texts) == brute_cover(texts)
+
+
+def test_many_partitions_lose_no_neighbours(spark):
+    """Pairs with a passage of 51 words give the same spans whatever the number of partitions."""
+    texts = short_passages(300, 9)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")
+        assert found_spans(spark, suffix_dedup, texts) == brute_cover(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_gear_hash_is_a_rolling_hash():
