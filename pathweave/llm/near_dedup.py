@@ -9,14 +9,13 @@ their values, and nodes next to each other with a common prefix of two values or
    copies are settled by a number of links in proportion to their size.
 2. The rest: in each region of a common two-value prefix, nodes of different components are screened
    against each other by their signatures, wherever they stand in the order. A region with over
-   ``REGION`` nodes is split by longer prefixes first, region by region, as deep as needed. Nodes with a
-   likely partner get their sets, and what reaches the threshold links the components; a region gives
-   out no more links than it has components.
+   ``REGION`` nodes is screened in tiles of about as many, in which all its nodes of different components
+   meet. Nodes with a likely partner get their sets, and what reaches the threshold links the components;
+   a tile gives out no more links than it has components.
 
 A pair of similarity 0.8 shares a two-value prefix in one of 16 orders but with chance 1e-7, and the
 screen (128 values, at least 88 equal) lets it pass with chance 0.999; links are only ever lost, never
-made up, as each is confirmed with ``100 * intersection >= 80 * union`` on the full sets. Regions that
-stay over ``REGION`` at full depth (8 equal MinHash values) are screened in blocks along their order.
+made up, as each is confirmed with ``100 * intersection >= 80 * union`` on the full sets.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from .components import components
 
 TREES, LABELS = 16, 8
 VALUES = TREES * LABELS
-#: Nodes of a region in which all pairs of different components are looked at.
+#: Nodes of a tile; a region of no more is one.
 REGION = 4096
 #: Neighbours of a node, besides its likeliest, that are confirmed in the first step.
 RANDOM_LINKS = 4
@@ -210,15 +209,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _likely(table: pa.Table, least: int, percent: int, first_tree: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _likely(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of a region (i, and all j > i) in different components whose sizes and signatures leave the
-    threshold possible. With ``first_tree`` a pair counts only in the first tree it shares a region in."""
+    threshold possible. A pair counts only in the first tree it shares a region in."""
     part, n, tree = (table.column(c).to_numpy() for c in ("part", "n", "tree"))
     low = _matrix(table.column("low"), np.uint8, VALUES)
     regions = _matrix(table.column("regions"), np.uint64, TREES)
     for i in range(len(part) - 1):
         js = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
-        if first_tree and len(js) and tree[i]:
+        if len(js) and tree[i]:
             js = js[~(regions[js, : tree[i]] == regions[i, : tree[i]]).any(1)]
         if len(js):
             js = js[_agreement(low[i], low[js]) >= least]
@@ -242,6 +241,26 @@ def _shared_counts(sets: list[np.ndarray]):
     return lambda i, js: np.bitwise_count(bits[js] & bits[i]).sum(1, dtype=np.int64)
 
 
+def tiles(rows: DataFrame) -> DataFrame:
+    """The rows (region, node, part, ...) of regions with several parts, with a ``block`` for each tile they are in.
+
+    Two nodes of different parts of a region meet in a tile at least. A region of up to ``REGION`` rows is
+    one tile. In others the nodes of the commonest part, which need not meet each other, and all others
+    are dealt into blocks of half a tile each; a block of the others meets every block.
+    """
+    sizes = rows.groupBy("region", "part").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "part")).alias("most")).where("most.n < rows")
+    sizes = sizes.select("region", "rows", F.col("most.part").alias("major"), F.col("most.n").alias("n_major"))
+    met = rows.join(written(sizes, "mixed"), "region")
+    blocks = lambda n: F.ceil(n / F.lit(max(1, REGION // 2))).cast("long")
+    met = met.withColumn("few", blocks(F.col("rows") - F.col("n_major"))).withColumn("many", blocks(F.col("n_major")))
+    mine = F.col("part") == F.col("major")
+    own = F.pmod(F.xxhash64("node"), F.when(mine, F.col("many")).otherwise(F.col("few"))) + F.when(mine, F.col("few")).otherwise(F.lit(0))
+    meets = F.sequence(F.lit(0).cast("long"), F.col("few") + F.when(mine, F.lit(0)).otherwise(F.col("many")) - 1)
+    met = met.withColumn("own", own).withColumn("meets", F.explode(F.when(F.col("rows") <= REGION, F.array(F.lit(-1).cast("long"))).otherwise(meets)))
+    met = met.where("meets != own").withColumn("block", F.when(F.col("meets") < 0, F.lit(0)).otherwise(F.shiftleft(F.least("own", "meets"), 31).bitwiseOR(F.greatest("own", "meets"))).cast("long"))
+    return met.drop("rows", "major", "n_major", "few", "many", "own", "meets")
+
+
 class NearDuplicates:
     """The job for one table of documents; :func:`near_duplicates` is the way in."""
 
@@ -310,22 +329,8 @@ class NearDuplicates:
 
     def cross_links(self, members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
         """Links between components (a, b) that nodes in a common region make, confirmed on full sets."""
-        rows = members.select("region", "tree", "r1", "r2", "r3", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        several = lambda r: r.groupBy("region").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("region", "rows")
-        rows = written(rows.join(written(several(rows), "mixed"), "region"), "regions")
-        # Depths: a region over the limit is split by one more value, until it is small or values run out.
-        split = False
-        for depth in range(LABELS - 2):
-            if rows.where(F.col("rows") > REGION).isEmpty():
-                break
-            split = True
-            column, shift = f"r{depth // 2 + 1}", 32 if depth % 2 == 0 else 0
-            deeper = F.xxhash64("region", F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(0xFFFFFFFF)))
-            rows = rows.withColumn("region", F.when(F.col("rows") > REGION, deeper).otherwise(F.col("region"))).drop("rows")
-            rows = written(rows.join(written(several(rows), f"mixed-{depth}"), "region"), f"regions-{depth}")
-        # What is over the limit at full depth is dealt into blocks along its order.
-        block = F.when(F.col("rows") > REGION, F.floor(F.pmod(F.shiftrightunsigned("r3", 16), F.lit(1 << 30)) * F.ceil(F.col("rows") / REGION) / (1 << 30))).otherwise(F.lit(0))
-        rows = rows.select("region", block.cast("int").alias("block"), "tree", "node", "part").join(signs, "node")
+        rows = members.select("region", "tree", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        rows = tiles(rows).select("region", "block", "tree", "node", "part").join(signs, "node")
         least, percent, width = self.least, self.percent, self.width
         columns = ["region", "block", "tree", "node", "part", "n", "low", "regions"]
 
@@ -333,14 +338,14 @@ class NearDuplicates:
             """The rows that have a likely partner in their region."""
             for table in _blocks(batches, ("region", "block")):
                 found = np.zeros(table.num_rows, bool)
-                for i, js in _likely(table, least, percent, not split):
+                for i, js in _likely(table, least, percent):
                     found[i] = True
                     found[js] = True
                 if found.any():
                     yield from table.filter(pa.array(found)).combine_chunks().to_batches()
 
         dealt = rows.select(*columns).repartition("region", "block").sortWithinPartitions("region", "block")
-        likely = written(dealt.mapInArrow(involved, "region long, block int, tree int, node long, part long, n long, low binary, regions binary"), "likely")
+        likely = written(dealt.mapInArrow(involved, "region long, block long, tree int, node long, part long, n long, low binary, regions binary"), "likely")
         texts = self.texts_of(likely.select("node").distinct(), "likely-texts")
 
         def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +360,7 @@ class NearDuplicates:
                 shared = _shared_counts(sets)
                 _, group = np.unique(part, return_inverse=True)
                 made: list[tuple[int, int]] = []
-                for i, js in _likely(table, least, percent, not split):
+                for i, js in _likely(table, least, percent):
                     js = js[group[js] != group[i]]
                     if not len(js):
                         continue

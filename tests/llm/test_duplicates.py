@@ -85,6 +85,14 @@ def test_regions_over_the_limit_are_split(spark, monkeypatch):
     assert all(want[got[i]] == want[i] for i in want)  # no link is made up
 
 
+def test_small_tiles_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    texts = near_copies(150, 0.06, 3) | {1000 + i: t for i, t in near_copies(60, 0.05, 4).items()}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert got == groups(texts, 2)
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
