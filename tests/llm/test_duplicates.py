@@ -93,6 +93,22 @@ def test_small_tiles_give_the_same_components(spark, monkeypatch):
     assert got == groups(texts, 2)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.7])
+def test_nodes_of_different_parts_meet_in_a_tile(spark, monkeypatch, share):
+    """Also when all values are equal: tiles look at the node alone."""
+    monkeypatch.setattr(near_dedup, "REGION", 40)
+    rng = random.Random(1)
+    part = {i: 0 if rng.random() < share else i for i in range(1, 301)}
+    rows = spark.createDataFrame([(7, i, p) for i, p in part.items()] + [(8, 1, 1), (8, 2, 1), (9, 1, 1), (9, 2, 2)], "region long, node long, part long")
+    held = collections.defaultdict(set)
+    for r in near_dedup.tiles(rows).collect():
+        held[r["region"], r["block"]].add(r["node"])
+    met = {(a, b) for (region, _), nodes in held.items() if region == 7 for a in nodes for b in nodes if a < b and part[a] != part[b]}
+    assert met == {(a, b) for a in part for b in part if a < b and part[a] != part[b]}
+    assert {region for region, _ in held} == {7, 9}
+    assert max(map(len, held.values())) <= 80
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
