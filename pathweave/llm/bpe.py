@@ -39,8 +39,8 @@ _STATES = 10
 _LETTERS = (_L, _STMD, _R, _V, _LL, _E)
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Code points in a block of the scan.
-BLOCK = 256
+#: Code points in a block of the scan, and those that are scanned at once.
+BLOCK, STRETCH = 256, 1 << 20
 
 
 def _step(state: int, kind: int) -> tuple[int, bool, bool]:
@@ -87,8 +87,11 @@ def code_point_classes() -> np.ndarray:
     return kinds
 
 
-def states_before(kinds: np.ndarray) -> np.ndarray:
-    """The automaton's state before each code point, by an associative scan of transition functions."""
+def states_before(kinds: np.ndarray, begin: int = _FRESH) -> np.ndarray:
+    """The automaton's state before each code point, by an associative scan of transition functions.
+
+    ``begin`` is the state before the first of them.
+    """
     n = len(kinds)
     blocks = max(1, -(-n // BLOCK))
     padded = np.full(blocks * BLOCK, _SP, np.int64)
@@ -110,7 +113,7 @@ def states_before(kinds: np.ndarray) -> np.ndarray:
     while step < blocks:
         whole[step:] = np.take_along_axis(whole[step:], whole[:-step].astype(np.int64), 1)
         step *= 2
-    state = np.concatenate([[_FRESH], whole[:-1, _FRESH]]).astype(np.uint8)
+    state = np.concatenate([[begin], whole[:-1, begin]]).astype(np.uint8)
     before = np.empty((BLOCK, blocks), np.uint8)
     for j, column in enumerate(columns):
         before[j] = state
@@ -125,10 +128,13 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     ends = np.zeros(len(points), bool)
     ends[firsts[firsts > 0] - 1] = True
     kinds[firsts] += _FIRST
-    at = kinds.astype(np.int64) * _STATES + states_before(kinds)
-    begins = _BEGINS[at]
-    undone = np.flatnonzero(_UNDOES[at]) - 1
-    begins[undone] = False
+    begins, state = np.empty(len(points), bool), _FRESH
+    for i in range(0, len(points), STRETCH):
+        here = kinds[i : i + STRETCH]
+        at = here.astype(np.int64) * _STATES + states_before(here, state)
+        begins[i : i + STRETCH] = _BEGINS[at]
+        begins[np.flatnonzero(_UNDOES[at]) + (i - 1)] = False
+        state = int(_NEXT[at[-1]])
     # The last white space before something else goes with it, or stands alone.
     begins[:-1] |= blank[:-1] & ~blank[1:] & ~ends[:-1]
     return np.flatnonzero(begins)
@@ -182,6 +188,7 @@ class Vocabulary:
 
 def _printable() -> dict[int, str]:
     """The character that stands for each byte in such files: itself where printable, else one from 256 on."""
+    # The ranges of printable bytes that the format prescribes.
     own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
     rest = [b for b in range(256) if b not in set(own)]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -193,13 +200,42 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.from_merges(path) if path.endswith(".json") else Vocabulary.from_ranks(path)
 
 
+def _alike(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, some: np.ndarray, like: np.ndarray) -> bool:
+    """Whether the pieces ``some`` have the bytes of the pieces ``like``, of the same sizes."""
+    away = np.repeat(starts[like] - starts[some], size[some])
+    inside = np.repeat(starts[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(len(away))
+    return bool((buf[inside] == buf[inside + away]).all())
+
+
+def _distinct(buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each piece's kind, and of each kind one piece: pieces of a kind have equal bytes.
+
+    ``starts`` and ``ends`` divide all of ``buf``. Kinds are found by hashes, then every byte is compared.
+    """
+    codes, kinds = pd.factorize(span_hashes(buf, starts, ends))
+    example = np.empty(len(kinds), np.int64)
+    example[codes[::-1]] = np.arange(len(codes))[::-1]
+    like = example[codes]
+    size = ends - starts
+    if (size == size[like]).all() and all(_alike(buf, starts, size, moved, like[moved]) for moved in np.array_split(np.flatnonzero(like != np.arange(len(like))), 1 + len(like) // 200_000)):
+        return codes, example
+    known: dict[bytes, int] = {}
+    codes = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    example = np.empty(len(known), np.int64)
+    example[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, example
+
+
 _NEVER = np.int64(1 << 60)
 #: Pieces from this many bytes on are merged one by one with a heap.
 LONG_PIECE = 400
 
 
 class Encoder:
-    """Encodes texts of one vocabulary; keeps at most ``cache`` pieces of up to LONG_PIECE bytes."""
+    """Encodes texts of one vocabulary; keeps at most ``cache`` pieces of up to LONG_PIECE bytes.
+
+    Pieces are told apart by their bytes; hashes only find those that are likely equal.
+    """
 
     def __init__(self, vocab: Vocabulary, cache: int = 400_000) -> None:
         self.vocab, self.cache = vocab, cache
@@ -207,9 +243,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.count = 0
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
@@ -287,8 +323,8 @@ class Encoder:
         order = np.argsort(owners, kind="stable")
         return toks[order].astype(np.int32), np.bincount(owners, minlength=n)
 
-    def _add(self, hashes: list[int], pieces: list[bytes]) -> None:
-        """Merge new pieces and keep them."""
+    def _add(self, pieces: list[bytes]) -> None:
+        """Merge new pieces and give them slots; those of LONG_PIECE bytes and more are not found again."""
         none = repeat(-1)
         whole = np.fromiter(map(self.vocab.whole.get, pieces, none), np.int64, len(pieces))
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -305,7 +341,7 @@ class Encoder:
         flat[np.repeat(begin[short] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
         for i, x in long.items():
             flat[begin[i] : begin[i] + len(x)] = x
-        n = len(self.slots)
+        n = self.count
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(pieces) > len(self.begin):
@@ -314,7 +350,8 @@ class Encoder:
         self.begin[n : n + len(pieces)] = self.used + begin
         self.size[n : n + len(pieces)] = lengths
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(n, n + len(pieces)), strict=True))
+        self.count += len(pieces)
+        self.slots.update((piece, n + i) for i, piece in enumerate(pieces) if len(piece) < LONG_PIECE)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets at which each text's ids begin (one more than texts)."""
@@ -326,18 +363,16 @@ class Encoder:
         begins = np.unique(offsets[:-1][np.diff(offsets) > 0])
         starts = heads[piece_starts(points, np.searchsorted(heads, begins))]
         ends = np.append(starts[1:], len(buf))
-        codes, uniques = pd.factorize(span_hashes(buf, starts, ends))
-        if len(self.slots) + len(uniques) > self.cache:
+        raw = buf.tobytes()
+        codes, example = _distinct(buf, raw, starts, ends)
+        if self.count + len(example) > self.cache or self.used > 16 * self.cache:
             self._clear()
-        keys = uniques.tolist()
-        found = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        distinct = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        found = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(found < 0)
         if len(new):
-            example = np.empty(len(uniques), np.int64)
-            example[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = buf.tobytes()
-            before = len(self.slots)
-            self._add(uniques[new].tolist(), [raw[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+            before = self.count
+            self._add([distinct[i] for i in new.tolist()])
             found[new] = before + np.arange(len(new))
         slot = found[codes]
         size = self.size[slot]
@@ -366,7 +401,8 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None, wit
 
     ``ids_sha256`` is of the decimal ids joined by commas, ``decoded_sha256`` of the decoded bytes, both
     in lower-case hex; ``with_ids`` adds the ids themselves. Null texts count as empty ones (0 tokens).
-    Other columns pass through; columns of the names above are replaced.
+    Repeated rows give repeated rows, an empty table an empty one. Other columns pass through; columns of
+    the names above are replaced. A worker holds a text's bytes, ids and about 40 bytes for each piece.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in names]

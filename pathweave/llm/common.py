@@ -36,11 +36,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def chance(key: str, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key alone, in steps of 2**-53: as fine for the largest tables."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) * F.lit(2.0**-53)
+
+
 def sampled(df: DataFrame, key: str, rate: float, seed: int) -> DataFrame:
     """About ``rate`` of the rows, the same ones on every run and in every partitioning."""
     if rate >= 1:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return df.where(chance(key, seed) < F.lit(float(rate)))
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
@@ -81,35 +86,46 @@ def is_ascii_space(buf: np.ndarray) -> np.ndarray:
     return (buf == 32) | ((buf >= 9) & (buf <= 13))
 
 
-#: An odd base of the polynomial word hash and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: The modulus of the span hash (a prime, 2**31 - 1) and two bases below it, drawn once at random.
+_PRIME = (1 << 31) - 1
+_BASES = tuple(int(x) for x in np.random.default_rng(31).integers(1 << 20, _PRIME, 2))
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    have = _POWERS.get(kind)
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of ``base`` modulo the prime."""
+    have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = _BASE if kind == "up" else _INVERSE
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
-            _POWERS[kind] = have
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), _PRIME)) % np.uint64(_PRIME)])
+        if len(have) <= 1 << 23:
+            _POWERS[base] = have
     return have[:n]
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``buf``, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of each span of ``buf``, equal for equal bytes wherever they stand.
+
+    Two polynomials in random bases modulo a prime, 62 bits together: a difference of two spans of n bytes
+    is a polynomial with at most n roots, so n of 2**31 bases at most make them meet, squared for two. (A
+    modulus that is a power of two has texts that meet in every base.)
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers("up", len(buf)), out=total[1:])
-        h = (total[ends] - total[starts]) * _powers("down", len(buf) + 1)[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    byte = buf.astype(np.uint64)
+    byte += np.uint64(1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    parts = []
+    for base in _BASES:
+        np.multiply(byte, _powers(base, len(buf)), out=total[1:])  # below 2**40
+        if len(buf) > 1 << 23:
+            total %= np.uint64(_PRIME)  # so that the sums stay exact
+        np.cumsum(total, out=total)
+        down = _powers(pow(base, -1, _PRIME), len(buf) + 1)[starts]
+        parts.append((total[ends] - total[starts]) % np.uint64(_PRIME) * down % np.uint64(_PRIME))
+        total[0] = 0
+    return mix64(parts[0] | parts[1] << np.uint64(31))
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
