@@ -1,22 +1,31 @@
-"""Substring deduplication by content-defined chunks of words.
+"""Substring deduplication by content-defined chunks, cut by a gear rolling hash.
 
-Every window of ``MIN_WORDS`` words is anchored at its word gram of least hash; a chunk is all windows of
-one anchor in a row. Insertions therefore move chunks only near themselves. Chunks whose anchor stands in
-one text only are dropped; of the others all windows get a digest, and each digest refers the texts that
-hold it to the least of them. No passage of ``MIN_WORDS`` words can hide: a window that stands in two
-texts has the same anchor and digest in both (see :mod:`.passages`).
+The gear hash of the last ``WINDOW`` bytes is looked at after each word, and a chunk runs from one place
+where it is least to the next. In each window of ``MIN_WORDS`` words the chunk begins after the word of least
+hash in the window's first part and ends at the word of least hash among those that keep it between
+``least_words`` and ``most_words`` words. All hashes looked at are of bytes inside the window, so it is
+the same chunk wherever the window stands: an insertion moves chunks only near itself, and no passage of
+``MIN_WORDS`` words, however short these are, can hide.
 
-``gear_hashes`` and ``chunk_ends`` cut texts at bytes, with no regard to words.
+Chunks are deduplicated by digest: those that stand in one text only are dropped, and with them all windows
+they were taken from. What is left is compared on the texts (see :mod:`.passages`).
+
+``chunk_ends`` cuts whole texts at bytes by the same hash, with no regard to words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .passages import MIN_WORDS, cut_out, matches, occurrences, pairs
+from .common import span_hashes, text_chunks, utf8, words_of, written
+from .passages import MIN_WORDS, cut_out, least_in, matches, occurrences, rows_of, runs_of
 
-#: A chunk ends where so many top bits of the hash are zero; sizes in bytes; 52 on average.
+#: A chunk of bytes ends where so many top bits of the hash are zero; sizes in bytes; 52 on average.
 BITS, LEAST, MOST = 5, 20, 128
 #: Bytes that the hash depends on.
 WINDOW = 32
@@ -66,22 +75,69 @@ def chunk_ends(buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
+def window_chunks(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks of all windows of ``width`` words: text, digest, first and last window that has this chunk.
+
+    A chunk has at most two fifths of the window's words and two fifths of those at least. A window with
+    too few bytes for that is a chunk itself.
+    """
+    buf, offsets = utf8(texts)
+    starts, ends, before = words_of(buf, offsets)
+    n = np.maximum(np.diff(before) - width + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    if not len(doc):
+        return doc, np.zeros(0, np.uint64), doc, doc
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    word = before[doc] + k
+    most = max(1, width * 2 // 5)
+    least = max(1, most * 2 // 5)
+    gear = gear_hashes(buf, offsets)[ends - 1]
+    low, high = np.searchsorted(ends, starts[word] + WINDOW), word + (width - 1 - most)
+    cut = word - 1  # the last word before the chunk
+    roomy = np.flatnonzero(low <= high)
+    cut[roomy] = least_in(gear, low[roomy], high[roomy])
+    first, last = runs_of(cut * 2 + (low > high), doc)
+    begin, whole = cut[first], low[first] > high[first]
+    end = begin + width
+    end[~whole] = least_in(gear, begin[~whole] + least, begin[~whole] + most)
+    return doc[first], span_hashes(buf, starts[begin + 1], ends[end]), k[first], k[last]
+
+
+def chunk_runs(docs: DataFrame, width: int, tag: str = "chunks") -> DataFrame:
+    """Runs of windows (doc, mark, first, last) whose chunk stands in another text too."""
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                doc, digest, first, last = window_chunks(texts, width)
+                own = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(digest.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "mark", "digest", "first", "last"])
+
+    chunks = rows_of(docs).mapInArrow(chunked, "doc long, mark long, digest long, first int, last int")  # taken twice from the texts, which costs less than keeping them
+    ends = [F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("mark").alias("c"), F.max("mark").alias("d")]
+    shared = written(chunks.groupBy("digest").agg(*ends).where("a != b OR c != d").select("digest"), f"{tag}-shared")
+    return chunks.join(shared, "digest").select("doc", "mark", "first", "last")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each span of a document that is a passage of another one too: doc_id, start, end, n_words,
+    """A row for each span of a document that is a passage of another one too: doc_id, mark, start, end, n_words,
     other_id, other_start.
 
-    Places are bytes of the UTF-8 text. ``other_id`` is null for the first place of a passage, which
-    deduplication keeps. Documents without such a passage have no row; null and empty texts have none,
-    nor have rows without a doc_id. Of rows that share a doc_id the least text counts. Columns other than
-    doc_id and text are not looked at.
+    Places are bytes of the UTF-8 text; ``mark`` is xxhash64 of the text. ``other_id`` is null for the first
+    place of a passage, which deduplication keeps. Documents without such a passage have no row; null and
+    empty texts have none, nor have rows without a doc_id, nor an empty table. Rows that share a doc_id
+    count as a document for each text that they have. A passage that stands only in one text, however
+    often, is none. Columns other than doc_id and text are not looked at. A worker needs some 60 bytes
+    for each byte of the longest text.
     """
-    return occurrences(matches(*pairs(docs, min_words, "chunks"), min_words, "chunks"))
+    return occurrences(matches(docs, chunk_runs(docs, min_words), min_words, "chunks"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated passage taken out but in its first place; columns stay the same.
 
-    Rows stay, if with an empty text where nothing else was in them.
+    Rows stay, if with an empty text where nothing else was in them. Each row loses what its own text
+    repeats, also where rows share an id.
     """
     found = repeated_passages(docs, min_words).where("other_id IS NOT NULL")
-    return cut_out(docs, found.select("doc_id", "start", "end"))
+    return cut_out(docs, found.select("doc_id", "mark", "start", "end"))

@@ -1,12 +1,13 @@
-"""Exact repeated passages: pairs of texts found by an index are compared on the texts themselves.
+"""Exact repeated passages: what an index of texts finds is compared on the texts themselves.
 
-Both deduplication by chunks and by suffixes end here. Every window of ``min_words`` words that stands in
-two texts puts its text and the least that has it in one pair; in a pair all common windows are looked
-up, each match is compared byte by byte, extended to the left and right as far as it goes and cut to
-whole words.
+Both deduplication by chunks and by suffixes end here. An index tells, for each window of ``min_words``
+words, whether a part of it that depends on the window alone stands elsewhere too. Of windows with such
+a part a digest is taken; every window that stands in two texts puts its text and the least that has it
+in one pair. In a pair all common windows are looked up, each match is compared byte by byte, extended to
+the left and right as far as it goes and cut to whole words.
 
-Which windows can repeat is told by their anchors: the word gram with the least hash of all in the
-window. It depends on the window alone, so a window whose anchor stands in one text only is in no other.
+A text is known by its row's doc_id and a digest of the text (``mark``), so rows that share an id keep
+to their own texts. Rows with equal id and text count as one.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from .common import span_hashes, text_chunks, utf8, words_of, written
 
 #: A passage counts when it has this many words: over 50.
 MIN_WORDS = 51
-#: Ids up to which a set of ids is broadcast (8 bytes each) rather than joined by a shuffle.
+#: Ids up to which a set of ids is broadcast (16 bytes each) rather than joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Texts that one task compares with one other text, about.
+GROUP = 20_000
 _SPACES = frozenset(b" \t\n\r\x0b\x0c")
+ROW = ["doc", "mark"]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -72,15 +76,9 @@ def extend(a: bytes, b: bytes, at: int, other: int) -> tuple[int, int, int] | No
     return (start, end, words) if words else None
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    """``doc_id`` and ``text`` of the documents whose id is in the column of ``ids``, written."""
-    wanted = ids.toDF("doc_id").distinct()
-    wanted = written(wanted, f"{tag}-ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    # Rows that share an id would mix their texts: the id then stands for the least of them.
-    return written(rows.groupBy("doc_id").agg(F.min("text").alias("text")), f"{tag}-texts")
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``doc``, ``mark`` and ``text`` of all rows that have an id and a text."""
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
 def window_spans(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,46 +92,45 @@ def window_spans(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndar
     return buf, doc, k, starts[word], ends[word + width - 1]
 
 
-def anchors(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of all windows: text, hash of the gram, first and last window that it is the anchor of.
+def least_in(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each range first..last of places the one with the least value, the rightmost of equal ones.
 
-    Of grams with equal hashes the rightmost is taken, so that a run of one repeated word has few anchors.
-    """
-    span = max(1, width * 5 // 8)
-    buf, doc, k, start, end = window_spans(texts, width - span + 1)  # grams
-    grams = span_hashes(buf, start, end)
-    best, size = np.arange(len(grams)), 1
-    while size < span:
-        step = min(size, span - size)
-        left, right = best[:-step], best[step:]
-        best = np.append(np.where(grams[right] <= grams[left], right, left), best[max(0, len(best) - step) :])
-        size += step
-    n = np.bincount(doc, minlength=len(texts))
-    at = np.flatnonzero(k + span <= n[doc])  # first grams of windows
-    first = np.flatnonzero(np.diff(best[at], prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    return doc[at[first]], grams[best[at[first]]].view(np.int64), k[at[first]], k[at[last[: len(first)]]]
-
-
-def pairs(docs: DataFrame, width: int, tag: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (doc, other) of texts with a common window, and the ``doc_id`` and ``text`` of all in them.
-
-    Each window that stands in several texts has pairs of the least of them with all others.
+    Ranges have one place at least; each is looked up as two ranges of a power of two.
     """
+    if not len(first):
+        return np.zeros(0, np.int64)
 
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_chunks(batch):
-                doc, gram, first, last = anchors(texts, width)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "gram", "first", "last"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    grams = rows.mapInArrow(anchored, "doc long, gram long, first int, last int")  # taken twice from the texts, which costs less than keeping them
-    several = lambda r, key: r.groupBy(key).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high")
-    shared = written(several(grams, "gram").select("gram"), f"{tag}-grams")
-    again = grams.join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = written(again, f"{tag}-runs")
-    texts = texts_of(docs, runs.select("doc"), tag)
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] <= values[a], b, a)
+
+    level = np.frexp((last - first + 1).astype(float))[1] - 1
+    out, best = np.empty(len(first), np.int64), np.arange(len(values))
+    for k in range(int(level.max()) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = better(best[first[at]], best[last[at] - (1 << k) + 1])
+        if len(best) > 1 << k:
+            best = better(best[: -(1 << k)], best[1 << k :])
+    return out
+
+
+def runs_of(chosen: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last indexes of runs of windows of one text for which the same is chosen."""
+    first = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    return first, np.append(first[1:], len(chosen))[: len(first)] - 1
+
+
+def matches(docs: DataFrame, runs: DataFrame, width: int, tag: str) -> DataFrame:
+    """All passages of ``width`` words or more that a text has in common with the least text that has one of
+    their windows; looked at are the windows in ``runs`` (doc, mark, first, last).
+
+    Returns doc, mark, start, end (bytes), n_words, other, other_mark, other_start for ``doc``'s side of
+    each match. Of a passage that stands several times in a text, each place is in a match, but not all
+    with each other.
+    """
+    lists = written(runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("runs")), f"{tag}-runs")  # of one text
+    wanted = lists.select(*ROW)
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = written(rows_of(docs).join(wanted, ROW, "left_semi").groupBy(*ROW).agg(F.min("text").alias("text")), f"{tag}-texts")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,102 +138,124 @@ def pairs(docs: DataFrame, width: int, tag: str) -> tuple[DataFrame, DataFrame]:
                 buf, doc, k, start, end = window_spans(held, width)
                 base = np.searchsorted(doc, np.arange(len(held) + 1))
                 keep = np.zeros(len(doc) + 1, np.int64)
-                places = part.column(1)
+                places = part.column(2)
                 owner = np.repeat(np.arange(len(held)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
                 first, last = (places.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                # Runs may be of another text with the same id: they stay inside this one.
-                np.add.at(keep, np.minimum(base[owner] + first, base[owner + 1]), 1)
-                np.add.at(keep, np.minimum(base[owner] + last + 1, base[owner + 1]), -1)
+                np.add.at(keep, base[owner] + first, 1)
+                np.add.at(keep, base[owner] + last + 1, -1)
                 at = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(span_hashes(buf, start[at], end[at]).view(np.int64))], ["doc", "digest"])
+                own = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(span_hashes(buf, start[at], end[at]).view(np.int64))], [*ROW, "digest"])
 
-    windows = runs.join(texts, runs["doc"] == texts["doc_id"]).select("doc", "runs", "text").mapInArrow(digests, "doc long, digest long")
-    repeated = written(several(windows, "digest").select("digest", F.col("low").alias("other")), f"{tag}-windows")
-    found = windows.join(repeated, "digest").where("doc != other").select("doc", "other").distinct()
-    return written(found, f"{tag}-pairs"), texts
+    windows = lists.join(texts, ROW).select(*ROW, "runs", "text").mapInArrow(digests, "doc long, mark long, digest long")  # taken twice from the texts, which costs less than keeping them
+    ends = windows.groupBy("digest").agg(F.min(F.struct(*ROW)).alias("low"), F.max(F.struct(*ROW)).alias("high")).where("low != high")
+    repeated = written(ends.select("digest", F.col("low.doc").alias("other"), F.col("low.mark").alias("other_mark")), f"{tag}-windows")
+    found = windows.join(repeated, "digest").where("doc != other OR mark != other_mark").select(*ROW, "other", "other_mark").distinct()
+    return _compared(written(found, f"{tag}-pairs"), texts, width, tag)
 
 
-def _starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _starts(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of ``a`` that lie alike in ``b``, each window on its first place there: first window
-    in ``a``, that in ``b``, and windows in the run."""
-    order = np.argsort(b, kind="stable")
-    at = order[np.minimum(np.searchsorted(b[order], a), len(b) - 1)]
+    in ``a``, that in ``b``, and windows in the run. ``order`` sorts ``b``, equal values by their places."""
+    at = order[np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)]
     i = np.flatnonzero(b[at] == a)
     j = at[i]
     first = np.flatnonzero((np.diff(i, prepend=-2) != 1) | (np.diff(j, prepend=-2) != 1))
     return i[first], j[first], np.diff(np.append(first, len(i)))
 
 
-def matches(pairs: DataFrame, texts: DataFrame, min_words: int, tag: str) -> DataFrame:
-    """All passages of ``min_words`` words or more that the texts of the pairs (doc, other) have in common.
+class _Text:
+    """A text with the digests of its windows and their places."""
 
-    Returns doc_id, start, end (bytes), n_words, other_id, other_start for ``doc``'s side of each match. Of a
-    passage that stands several times in a text, each place is in a match, but not all with each other.
-    """
-    met = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("text_a")), "doc")
-    met = met.join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_b")), "other")
-    names = ["doc_id", "start", "end", "n_words", "other_id", "other_start"]
+    def __init__(self, text: str, digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.text, self.digest, self.start, self.end = text, digest, start, end
+        self.order = np.argsort(digest, kind="stable")
 
-    def digested(texts: pa.StringArray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        buf, doc, _, start, end = window_spans(texts, min_words)
+    @classmethod
+    def of(cls, texts: pa.StringArray, width: int) -> list[_Text]:
+        buf, doc, _, start, end = window_spans(texts, width)
         digest = span_hashes(buf, start, end)
-        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        base = utf8(texts)[1]
-        return [(digest[x:y], start[x:y] - o, end[x:y] - o) for x, y, o in zip(cuts[:-1], cuts[1:], base[:-1], strict=True)]
+        cuts, base = np.searchsorted(doc, np.arange(len(texts) + 1)), utf8(texts)[1]
+        return [cls(t, digest[x:y], start[x:y] - o, end[x:y] - o) for t, x, y, o in zip(texts.to_pylist(), cuts[:-1], cuts[1:], base[:-1], strict=True)]
+
+    def common(self, other: _Text, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+        """Start, end, words and start in ``other`` of the passages both have."""
+        if not len(self.digest) or not len(other.digest):
+            return
+        a, b = self.text.encode(), other.text.encode()
+        i, j, n = _starts(self.digest, other.digest, other.order)
+        j2, i2, n2 = _starts(other.digest, self.digest, self.order)
+        i, j, n = np.append(i, i2), np.append(j, j2), np.append(n, n2) - 1
+        done: list[tuple[int, int, int]] = []
+        for s, e, t, u in zip(self.start[i].tolist(), self.end[i + n].tolist(), other.start[j].tolist(), other.end[j + n].tolist(), strict=True):
+            # Both places of the run may be in matches already, if with other places (a run of one word).
+            if any(p <= s and e <= q for p, q, _ in done) and any(p + d <= t and u <= q + d for p, q, d in done):
+                continue
+            found = extend(a, b, s, t)
+            if found is not None and found[2] >= min_words:
+                done.append((found[0], found[1], t - s))
+                yield (*found, found[0] + t - s)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, min_words: int, tag: str) -> DataFrame:
+    """The passages that the pairs (doc, mark, other, other_mark) have in common.
+
+    All texts that meet one other text come after it, in groups of about ``GROUP`` at most, so that a text
+    met by many is sent once to each group and its windows are digested once.
+    """
+    salts = -(-pairs.count() // GROUP)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(*ROW), F.lit(max(1, salts))))
+    key = ["other", "other_mark", "salt"]
+    whole = texts.select(F.col("doc").alias("other"), F.col("mark").alias("other_mark"), "text")
+    heads = salted.select(*key).distinct().join(whole, ["other", "other_mark"]).select(*key, F.lit(0).alias("turn"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("mark"), "text")
+    tails = salted.join(texts, ROW).select(*key, F.lit(1).alias("turn"), *ROW, "text")
+    dealt = heads.unionByName(tails).repartition(*key).sortWithinPartitions(*key, "turn")
+    names = ["doc", "mark", "start", "end", "n_words", "other", "other_mark", "other_start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = None
         for batch in batches:
-            for part, texts_b in text_chunks(batch, "text_b", 1_000_000):
+            for part, held in text_chunks(batch):
                 rows: list[tuple[int, ...]] = []
-                texts_a = part.column(2).cast(pa.string())
-                sides = zip(digested(texts_a), digested(texts_b), strict=True)
-                for doc, other, text_a, text_b, (x, y) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_a.to_pylist(), texts_b.to_pylist(), sides, strict=True):
-                    if not len(x[0]) or not len(y[0]):
+                columns = (part.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+                for other_doc, other_mark, turn, doc, mark, text in zip(*columns, _Text.of(held, min_words), strict=True):
+                    if not turn:
+                        other = text
                         continue
-                    a, b = text_a.encode(), text_b.encode()
-                    i, j, n = _starts(x[0], y[0])
-                    i2, j2, n2 = _starts(y[0], x[0])
-                    i, j, n = np.append(i, j2), np.append(j, i2), np.append(n, n2) - 1
-                    done: list[tuple[int, int, int]] = []
-                    for s, e, t, u in zip(x[1][i].tolist(), x[2][i + n].tolist(), y[1][j].tolist(), y[2][j + n].tolist(), strict=True):
-                        # Both places of the run may be in matches already, if with other places (a run of one word).
-                        if any(p <= s and e <= q for p, q, _ in done) and any(p + d <= t and u <= q + d for p, q, d in done):
-                            continue
-                        found = extend(a, b, s, t)
-                        if found is not None and found[2] >= min_words:
-                            done.append((found[0], found[1], t - s))
-                            rows.append((doc, *found, other, found[0] + t - s))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
-
-    out = met.select("doc", "other", "text_a", "text_b").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return written(out.distinct(), f"{tag}-matches")
+                    rows += [(doc, mark, s, e, n, other_doc, other_mark, t) for s, e, n, t in text.common(other, min_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], names)
+
+    return written(dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names)), f"{tag}-matches")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """Both sides of each match, one row for a span: doc_id, start, end, n_words, other_id, other_start.
+    """Both sides of each match, one row for a span: doc_id, mark, start, end, n_words, other_id, other_start.
 
     ``other_id`` is null for a span that is in no earlier place of any match: it is the one to keep.
-    "Earlier" is a smaller id, or a smaller start in the same document.
+    "Earlier" is a smaller id; of rows with one id the smaller mark; in one text the smaller start.
     """
-    later = (F.col("doc_id") > F.col("other_id")) | ((F.col("doc_id") == F.col("other_id")) & (F.col("start") > F.col("other_start")))
+    here, there = F.struct("doc", "mark", "start"), F.struct(F.col("other").alias("doc"), F.col("other_mark").alias("mark"), F.col("other_start").alias("start"))
     length = F.col("end") - F.col("start")
-    ours = found.select("doc_id", "start", "end", "n_words", F.when(later, F.struct("other_id", "other_start")).alias("source"))
+    ours = found.select(F.col("doc").alias("doc_id"), "mark", "start", "end", "n_words", F.when(here > there, there).alias("source"))
     theirs = found.select(
-        F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), (F.col("other_start") + length).alias("end"), "n_words",
-        F.when(~later, F.struct(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"))).alias("source"),
+        F.col("other").alias("doc_id"), F.col("other_mark").alias("mark"), F.col("other_start").alias("start"), (F.col("other_start") + length).alias("end"), "n_words",
+        F.when(there > here, here).alias("source"),
     )
-    both = ours.unionByName(theirs).groupBy("doc_id", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("source").alias("source"))
-    return both.select("doc_id", "start", "end", "n_words", F.col("source.other_id").alias("other_id"), F.col("source.other_start").alias("other_start"))
+    both = ours.unionByName(theirs).groupBy("doc_id", "mark", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("source").alias("source"))
+    return both.select("doc_id", "mark", "start", "end", "n_words", F.col("source.doc").alias("other_id"), F.col("source.start").alias("other_start"))
 
 
 def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans (doc_id, start, end: bytes of the UTF-8 text) taken out of ``text``.
+    """``docs`` with the spans (doc_id, mark, start, end: bytes of the UTF-8 text) taken out of ``text``.
 
-    ``n_chars`` is set anew where the column is there. Documents without a span stay as they are.
+    Each row loses spans of its own text alone. ``n_chars`` is set anew where the column is there. Rows
+    without a span stay as they are.
     """
-    lists = written(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__cut_id"), "cuts")  # spans of one document
+    cuts = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts"))  # of one text
+    lists = written(cuts.withColumnsRenamed({"doc_id": "__cut_id", "mark": "__cut_mark"}), "cuts")
     names = docs.columns
-    met = docs.join(lists, docs["doc_id"].cast("long") == lists["__cut_id"], "left").select(*[docs[c] for c in names], "__cuts")
+    own = (docs["doc_id"].cast("long") == lists["__cut_id"]) & (F.xxhash64(docs["text"]) == lists["__cut_mark"])
+    met = docs.join(lists, own, "left").select(*[docs[c] for c in names], "__cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +268,7 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     for cut in cuts:
                         kept.append(raw[at : max(at, cut["start"])])
                         at = max(at, cut["end"])
-                    texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore").strip()
+                    texts[i] = b"".join([*kept, raw[at:]]).decode().strip()
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)

@@ -35,7 +35,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,65 +1,127 @@
 """Substring deduplication by a sparse suffix array.
 
-Of all suffixes of all texts (at word starts) only those are kept whose first ``MIN_WORDS`` words may
-repeat: their anchor, the word gram of least hash in them, stands in two texts. Suffixes with equal first
-``MIN_WORDS`` words are a run of the suffix order, whatever else it sorts by; a run is one hash of these
-words. The least text of each run meets all others in it, wherever in the run they stand, and a text that
-is in the run more than once meets it with each of its places (see :mod:`.passages`). So no neighbour is
-lost at a partition's edge, and the result doesn't depend on how many partitions there are.
-
-``minimisers`` keeps of every ``SPAN`` word positions in a row the one with the least gram.
+Of all suffixes of all texts (at word starts) only those at minimisers are kept: in each window of
+``MIN_WORDS`` words the word gram of least hash. Which it is depends on the window alone, so two texts with
+a common window keep suffixes at the same place of it. The kept suffixes are sorted, by their first 16
+bytes and then by the digest of their first gram, and each is compared with its neighbours: suffixes that
+begin with the same gram are next to each other. A suffix without such a neighbour is dropped; the array's
+ranges meet at their edges, so the result doesn't depend on how many there are. The windows of the
+others are matched on the texts, extended to the left and right (see :mod:`.passages`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .passages import MIN_WORDS, cut_out, matches, occurrences, pairs
+from .common import span_hashes, text_chunks, written
+from .passages import MIN_WORDS, cut_out, least_in, matches, occurrences, rows_of, runs_of, window_spans
 
 #: Word positions of which the one with the least gram is kept.
 SPAN = 32
 
 
-def minimisers(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Positions with the least hash among ``SPAN`` in a row within one text (the whole text if shorter).
+def window_minimisers(hashes: np.ndarray, docs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings of all runs of ``span`` positions in one text, and the position of least hash in each.
 
     The rightmost of equal ones is taken, so that a run of one repeated word keeps few of them.
     """
-    n = len(hashes)
-    if not n:
+    size = np.bincount(docs) if len(docs) else np.zeros(0, np.int64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(docs))  # positions from here to the text's end
+    begin = np.flatnonzero(left >= span)
+    return begin, least_in(hashes >> np.uint64(1), begin, begin + span - 1)
+
+
+def minimisers(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Positions with the least hash among ``SPAN`` in a row within one text (the whole text if shorter)."""
+    if not len(docs):
         return np.zeros(0, np.int64)
-    key = hashes >> np.uint64(1)
     first = np.flatnonzero(np.diff(docs, prepend=-1))
-    sizes = np.diff(np.append(first, n))
-    # Least (hash, -position) by doubling windows; windows never leave their text.
-    best = np.arange(n)
-    left = np.arange(n) - np.repeat(first, sizes)  # positions before in the same text
-    width = 1
-    while width < SPAN:
-        step = min(width, SPAN - width)
-        back = np.flatnonzero(left >= step)
-        old = best[back - step]
-        better = key[old] < key[best[back]]
-        best = best.copy()
-        best[back[better]] = old[better]
-        width += step
-    full = (left >= SPAN - 1) | np.repeat(sizes < SPAN, sizes) & (left == np.repeat(sizes, sizes) - 1)
-    return np.unique(best[full])
+    last = np.append(first[1:], len(docs)) - 1
+    short = last - first + 1 < SPAN
+    return np.union1d(window_minimisers(hashes, docs, SPAN)[1], least_in(hashes >> np.uint64(1), first[short], last[short]))
+
+
+def suffixes(texts: pa.StringArray, width: int) -> tuple[np.ndarray, ...]:
+    """The kept suffixes: text, first 16 bytes as two numbers that sort alike, digest of the first gram, first
+    and last window of ``width`` words that the suffix was kept for."""
+    span = min(SPAN, max(1, width * 5 // 8))
+    buf, doc, k, start, end = window_spans(texts, width - span + 1)
+    grams = span_hashes(buf, start, end)
+    begin, best = window_minimisers(grams, doc, span)
+    first, last = runs_of(best, doc[begin])
+    at = best[first]
+    wide = np.append(buf, np.zeros(16, np.uint8))
+    heads = [wide[start[at][:, None] + np.arange(i, i + 8)].view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63) for i in (0, 8)]
+    return doc[at], *(h.view(np.int64) for h in heads), grams[at].view(np.int64), k[begin[first]].astype(np.int32), k[begin[last]].astype(np.int32)
+
+
+def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes in order those that begin with the same gram as one next to them (``sure``), and the first
+    and last of all (``edge``), whose neighbours may be in other partitions."""
+    names = ["doc", "mark", "gram", "first", "last", "sure", "edge"]
+    held, same_held, gram_held, first_held = None, False, 0, False
+
+    def out(rows: pa.RecordBatch, sure: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names[:5]), pa.array(sure), pa.array(edge)], names)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        gram = batch.column(batch.schema.get_field_index("gram")).to_numpy()
+        same = np.append(held is not None and gram_held == gram[0], gram[1:] == gram[:-1])
+        if held is not None and (same_held or same[0] or first_held):
+            yield out(held, np.array([same_held or bool(same[0])]), np.array([first_held]))
+        sure, edge = same[:-1] | same[1:], np.zeros(n - 1, bool)
+        if held is None and n > 1:
+            edge[0] = True
+        at = np.flatnonzero(sure | edge)
+        if len(at):
+            yield out(batch.take(pa.array(at)), sure[at], edge[at])
+        # The last row waits for its next one.
+        held, same_held, gram_held, first_held = batch.slice(n - 1), bool(same[-1]), gram[-1], held is None and n == 1
+    if held is not None:
+        yield out(held, np.array([same_held]), np.array([True]))
+
+
+def suffix_runs(docs: DataFrame, width: int, tag: str = "suffixes") -> DataFrame:
+    """Runs of windows (doc, mark, first, last) kept for suffixes that a neighbour in the array begins like."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                doc, head, more, gram, first, last = suffixes(texts, width)
+                own = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(more), pa.array(gram), part.column(0).take(own), part.column(1).take(own), pa.array(first), pa.array(last)], ["head", "more", "gram", "doc", "mark", "first", "last"])
+
+    order = ["head", "more", "gram", "doc", "mark", "first"]
+    rows = rows_of(docs).mapInArrow(kept, "head long, more long, gram long, doc long, mark long, first int, last int")
+    array = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    near = written(array.mapInArrow(_with_neighbours, "doc long, mark long, gram long, first int, last int, sure boolean, edge boolean"), f"{tag}-array")
+    # A run of one row in each of two partitions: two rows a partition are looked at.
+    across = near.where("edge").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.lit(True).alias("met"))
+    return near.join(F.broadcast(across), "gram", "left").where("sure OR met").select("doc", "mark", "first", "last")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each span of a document that is a passage of another one too: doc_id, start, end, n_words,
+    """A row for each span of a document that is a passage of another one too: doc_id, mark, start, end, n_words,
     other_id, other_start.
 
-    Places are bytes of the UTF-8 text. ``other_id`` is null for the first place of a passage. Documents
-    without such a passage have no row; null and empty texts have none, nor have rows without a doc_id.
-    Of rows that share a doc_id the least text counts. Columns other than doc_id and text are not looked at.
+    Places are bytes of the UTF-8 text; ``mark`` is xxhash64 of the text. ``other_id`` is null for the first
+    place of a passage. Documents without such a passage have no row; null and empty texts have none, nor
+    have rows without a doc_id, nor an empty table. Rows that share a doc_id count as a document for each
+    text that they have. A passage that stands only in one text, however often, is none. Columns other
+    than doc_id and text are not looked at. A worker needs some 60 bytes for each byte of the longest text.
     """
-    return occurrences(matches(*pairs(docs, min_words, "suffixes"), min_words, "suffixes"))
+    return occurrences(matches(docs, suffix_runs(docs, min_words), min_words, "suffixes"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated passage taken out but in its first place; columns stay the same."""
     found = repeated_passages(docs, min_words).where("other_id IS NOT NULL")
-    return cut_out(docs, found.select("doc_id", "start", "end"))
+    return cut_out(docs, found.select("doc_id", "mark", "start", "end"))
