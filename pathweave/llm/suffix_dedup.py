@@ -55,8 +55,9 @@ def suffixes(texts: pa.StringArray, width: int) -> tuple[np.ndarray, ...]:
     begin, best = window_minimisers(grams, doc, span)
     first, last = runs_of(best, doc[begin])
     at = best[first]
-    wide = np.append(buf, np.zeros(16, np.uint8))
-    heads = [wide[start[at][:, None] + np.arange(i, i + 8)].view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63) for i in (0, 8)]
+    place = start[at][:, None] + np.arange(16)
+    head = np.where(place < end[at][:, None], np.append(buf, np.zeros(16, np.uint8))[place], np.uint8(0))  # of the gram alone
+    heads = [np.ascontiguousarray(head[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63) for i in (0, 8)]
     return doc[at], *(h.view(np.int64) for h in heads), grams[at].view(np.int64), k[begin[first]].astype(np.int32), k[begin[last]].astype(np.int32)
 
 

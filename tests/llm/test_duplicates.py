@@ -325,3 +325,117 @@ def test_shingle_sets_of_short_texts():
     assert [len(s) for s in sets] == [0, 1, 1, 1, 1, 2]
     assert sets[1].tolist() == sets[2].tolist() and sets[3].tolist() == sets[4].tolist()
     assert PASSAGE
+
+
+# -- identity, borders, odd passages ------------------------------------------------------------------------
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: equal hashes in every base modulo a power of two."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_are_not_linked(spark):
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        a, b = thue_morse(n)
+        rows += [(10 * k, a + " x"), (10 * k + 1, b + " x"), (10 * k + 2, a + " x"), (10 * k + 3, a), (10 * k + 4, b)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i - 2 if i % 10 == 2 else i for i, _ in rows}
+
+
+def hard_passages(seed):
+    """Equal texts, 51 words of one letter, a passage whose halves lie first elsewhere, one twice in a text."""
+    rng = random.Random(seed)
+    letters = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+    words = lambda n: [f"{rng.choice('äöüé')}{rng.randrange(10**5)}" for _ in range(n)]
+    texts, i = {}, 0
+    for _ in range(12):
+        same, short, long = " ".join(words(90)), letters(51), words(60)
+        twice = " ".join(words(55))
+        rows = [same, same, " ".join([*letters(30), *short, *letters(9)]), " ".join([*letters(3), *short, *letters(40)])]
+        rows += [" ".join([*words(5), *long[:40], *words(5)]), " ".join([*words(9), *long[20:], *words(5)]), " ".join([*words(7), *long, *words(5)]), " ".join([*words(2), *long, *words(2)])]
+        rows += [f"x {twice} yy {twice} z", f"{twice} only", "\n".join(words(50))]
+        for t in rows:
+            texts[i] = t
+            i += 1
+    return texts
+
+
+@pytest.mark.parametrize("operator", [chunk_dedup, suffix_dedup])
+@pytest.mark.parametrize("partitions", [1, 4, 50, 200])
+def test_spans_whatever_the_partitions(spark, operator, partitions):
+    texts = hard_passages(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        assert found_spans(spark, operator, texts) == brute_cover(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("operator", [chunk_dedup, suffix_dedup])
+@pytest.mark.parametrize("width", [4, 13, 30])
+def test_shorter_passages(spark, operator, width):
+    """Other lengths of a passage, down to windows with less room than a chunk needs."""
+    rng = random.Random(width)
+    texts = {i: " ".join(rng.choice(["a", "bb", "ccc", "x" * 40, "éé"]) for _ in range(rng.randint(0, 3 * width))) for i in range(60)}
+    texts |= {100 + i: texts[i] + " tail" for i in range(0, 60, 7)}
+    rows = operator.repeated_passages(docs_of(spark, [(i, t, "en", "s", 1) for i, t in texts.items()]), width).collect()
+    assert covered(rows, texts) == brute_cover(texts, width)
+
+
+def shared_ids():
+    passage = " ".join(f"wörd{i}é" for i in range(60))
+    other = " ".join(f"zz{i}🙂" for i in range(70))
+    rows = [(1, f"ä ö {passage} ü"), (2, f"é {passage}"), (2, "nothing that repeats, ümlaut here " + " ".join(f"q{i}" for i in range(200))), (2, f"{other} é"), (3, f"{other} - {passage}"), (3, "short")]
+    left = [(1, f"ä ö {passage} ü"), (2, "é"), (2, rows[2][1]), (2, f"{other} é"), (3, "-"), (3, "short")]
+    return rows, left
+
+
+@pytest.mark.parametrize("operator", [chunk_dedup, suffix_dedup])
+def test_rows_with_one_id_keep_their_own_texts(spark, operator):
+    rows, left = shared_ids()
+    docs = docs_of(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = operator.without_repeats(docs).collect()
+    assert sorted((r["doc_id"], " ".join(r["text"].split())) for r in got) == sorted(left)
+    assert all(r["n_chars"] == len(r["text"]) for r in got if (r["doc_id"], r["text"]) not in rows)
+
+
+def test_the_pipeline_keeps_rows_with_one_id_apart(spark, sf):
+    import corpus_pipeline
+
+    rows, left = shared_ids()
+    got = corpus_pipeline.drop_repeated_passages(spark, docs_of(spark, [(i, t, "en", "s", 1) for i, t in rows]), sf).collect()
+    assert sorted((r["doc_id"], " ".join(r["text"].split())) for r in got) == sorted(left)
+
+
+def test_suffixes_sort_by_their_texts():
+    texts = pa.array(["one two three four five six seven", "zero one two three four five six seven", "", "a b"])
+    doc, head, more, gram, first, last = suffix_dedup.suffixes(texts, 5)
+    raw = [t.encode() for t in texts.to_pylist()]
+    for d, h, m, a, b in zip(doc.tolist(), head.tolist(), more.tolist(), first.tolist(), last.tolist(), strict=True):
+        begin = ((h + (1 << 63)) << 64 | (m + (1 << 63))).to_bytes(16, "big").rstrip(b"\0")
+        assert begin in raw[d] and a <= b
+    assert set(doc.tolist()) == {0, 1} and set(gram[doc == 0].tolist()) & set(gram[doc == 1].tolist())
+
+
+def test_edges_of_ranges_are_compared():
+    """Every split of sorted suffixes into two partitions finds the same runs, rows at the edges included."""
+    gram = np.array([5, 1, 1, 7, 7, 7, 9, 2, 3, 3])
+    names = ["head", "more", "gram", "doc", "mark", "first", "last"]
+    rows = pa.RecordBatch.from_arrays([*(pa.array(np.zeros(10, np.int64)) for _ in range(2)), pa.array(gram), pa.array(np.arange(10)), pa.array(np.zeros(10, np.int64)), *(pa.array(np.zeros(10, np.int32)) for _ in range(2))], names)
+    for cut in range(11):
+        for size in (1, 2, 3, 10):
+            sure, edges = set(), []
+            for a, b in ((0, cut), (cut, 10)):
+                parts = [rows.slice(i, min(size, b - i)) for i in range(a, b, size)]
+                for out in suffix_dedup._with_neighbours(iter(parts)):
+                    for r in out.to_pylist():
+                        sure |= {r["doc"]} if r["sure"] else set()
+                        edges += [(r["gram"], r["doc"])] if r["edge"] else []
+            met = {g for g, _ in edges if sum(x == g for x, _ in edges) > 1}
+            assert sure | {d for g, d in edges if g in met} == {1, 2, 3, 4, 5, 8, 9}, (cut, size)
