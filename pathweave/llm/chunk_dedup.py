@@ -36,19 +36,24 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 def gear_hashes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The gear hash after each byte, h = 2 * h + gear[byte] modulo 2**32, begun anew in each text.
 
-    As 32 doublings push a byte out, the sum over the last 32 bytes is built by doubling its length.
+    As 32 doublings push a byte out, the sum over the last 32 bytes is built by doubling its length; the
+    first bytes of each text, whose sums would go back into the text before, are taken by themselves.
     """
-    n, docs = len(buf), len(offsets) - 1
-    doc = np.repeat(np.arange(docs), np.diff(offsets))
-    place = np.arange(n) + WINDOW * (doc + 1)
-    h = np.zeros(n + WINDOW * (docs + 1), np.uint32)
-    h[place] = _GEAR[buf]
-    width = 1
-    while width < WINDOW:
-        nxt = h.copy()
-        nxt[width:] += h[:-width] << np.uint32(width)
-        h, width = nxt, width * 2
-    return h[place]
+
+    def rolled(h: np.ndarray) -> np.ndarray:
+        width = 1
+        while width < WINDOW:
+            h[..., width:] += h[..., :-width] << np.uint32(width)
+            width *= 2
+        return h
+
+    h = rolled(_GEAR[buf])
+    place = offsets[:-1][:, None] + np.arange(WINDOW)
+    inside = place < offsets[1:][:, None]
+    begin = np.zeros(place.shape, np.uint32)
+    begin[inside] = _GEAR[buf[place[inside]]]
+    h[place[inside]] = rolled(begin)[inside]
+    return h
 
 
 def chunk_ends(buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
