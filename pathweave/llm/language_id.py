@@ -5,9 +5,9 @@ that the slots of an n-gram, combined by AND, give the mask of all languages tha
 counts, for each language, how many of its n-grams carry the language's bit; the expected number of
 false positives is taken off, and the largest corrected share decides.
 
-Learning reads at most ``max_texts`` texts of each language (a documented bound on what is learned
-from, not on what is scored) and keeps an n-gram for a language when ``min_count`` places or more of
-that sample have it.
+Learning reads about ``max_texts`` texts of each language at most (a documented bound on what is learned
+from, not on what is scored) and keeps an n-gram for a language unless another one has it many times
+as often.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, text_chunks
+from .common import chance, held_out, mix64, text_chunks
 
 #: Characters in an n-gram; letters only, with one space for each stretch of other characters.
 N = 4
 UNDETERMINED = "und"
+#: Languages that a filter bank may have: a bit each.
+MOST_LANGUAGES = 10_000
 
 
 def _letter_table() -> np.ndarray:
@@ -108,7 +110,7 @@ class LanguageFilters:
         for i in range(k):
             bit = (masks[:, i // 8] >> np.uint8(i % 8)) & 1
             hits[:, i] = np.bincount(doc, weights=bit, minlength=n)
-        share = np.clip((hits / total[:, None] - self.rates) / (1 - self.rates), 0, 1)
+        share = np.clip((hits / total[:, None] - self.rates) / np.maximum(1 - self.rates, 1e-9), 0, 1)
         best = share.argmax(1)
         top = share[np.arange(n), best]
         second = np.partition(share, -2, axis=1)[:, -2] if k > 1 else np.zeros(n)
@@ -142,32 +144,33 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: int = 200_000, bits_per_gram: int = 16, least_share: float = 0.03) -> LanguageFilters:
+def fit(docs: DataFrame, max_texts: int = 1500, bits_per_gram: int = 16, least_share: float = 0.03) -> LanguageFilters:
     """Learn the filters from ``text`` and ``lang`` of the rows outside the held-out fold.
 
-    ``max_texts`` bounds the texts of one language that are read, ``max_grams`` the n-grams of one
-    language that are kept (the most frequent). An n-gram is kept for a language if it makes up at least
-    ``least_share`` of what it makes up where it is most frequent. Rows with a null text or language teach nothing;
-    without any such row the filters are empty and every text is ``und``.
+    ``max_texts`` bounds the texts of one language that are read (in expectation: texts are drawn by a hash
+    of their id). An n-gram is kept for a language if it makes up at least ``least_share`` of what it makes
+    up where it is most frequent. Rows with a null text or language teach nothing; without any such row the
+    filters are empty and every text is ``und``. More than ``MOST_LANGUAGES`` values of ``lang`` are an error.
     """
     docs = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
         return LanguageFilters([], np.zeros((1, 1), np.uint8), 1, np.zeros(1))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))  # of equal shares the more frequent language wins
-    rates = [(lang, min(1.0, max_texts / sizes[lang])) for lang in languages]
-    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(rate)) for lang, rate in rates])
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < wanted * 1_000_000)
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, max_texts / n)) for lang, n in sizes.items()], "lang string, rate double")
+    sample = docs.join(F.broadcast(rates), "lang").where(chance("doc_id", 11) < F.col("rate"))  # a row for each language
     counts = sample.select("text", "lang").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Of a very small sample every n-gram counts.
-    few = sum(min(max_texts, s) for s in sizes.values()) < 50 * len(sizes)
-    kept = counts.where(F.col("n") >= (1 if few else min_count))
-    # What comes here is the n-grams of the bounded sample. One that another language has many times as
-    # often is a quotation or a wrong mark, and is not taken for the language's own.
-    frame = kept.toArrow().to_pandas().sort_values(["lang", "n", "gram"], ascending=[True, False, True])
-    share = frame["n"] / frame.groupby("lang")["n"].transform("sum")
-    frame = frame[share >= least_share * share.groupby(frame["gram"]).transform("max")]
-    got = {lang: part["gram"].to_numpy()[:max_grams].view(np.uint64) for lang, part in frame.groupby("lang")}
+    # An n-gram that another language has many times as often is a quotation or a wrong mark, and is not
+    # taken for the language's own.
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("share"))
+    most_of = F.max("share").over(Window.partitionBy("gram"))
+    kept = shares.withColumn("most", most_of).where(F.col("share") >= F.lit(least_share) * F.col("most")).groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    # What comes here is the n-grams of the bounded sample, 8 bytes each.
+    rows = kept.toArrow()
+    got = {lang: grams_.values.to_numpy().view(np.uint64) for lang, grams_ in zip(rows.column("lang").to_pylist(), rows.column("grams").combine_chunks() if rows.num_rows else [], strict=True)}
     most = max((len(g) for g in got.values()), default=1)
     size = 1 << max(10, math.ceil(math.log2(max(1, most) * bits_per_gram)))
     filters = LanguageFilters(languages, np.zeros((size, (len(languages) + 7) // 8), np.uint8), 3, np.zeros(len(languages)))
@@ -180,7 +183,7 @@ def fit(docs: DataFrame, max_texts: int = 1500, min_count: int = 3, max_grams: i
                 at = (h & mask).astype(np.int64)
                 filters.slots[at, i // 8] |= np.uint8(1 << (i % 8))
                 h = h + step
-        filters.rates[i] = min(0.5, ((filters.slots[:, i // 8] >> np.uint8(i % 8)) & 1).mean() ** filters.hashes)
+        filters.rates[i] = ((filters.slots[:, i // 8] >> np.uint8(i % 8)) & 1).mean() ** filters.hashes
     return filters
 
 
@@ -188,10 +191,11 @@ def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str] | None =
     """Add ``lang_pred``, ``score``, ``known_share`` and ``n_grams`` to the columns ``keep`` of ``docs``.
 
     Every row is scored on its whole text. Null and empty texts, and texts without a letter, get
-    ``und`` and 0. Repeated rows get equal results; columns of the same names are replaced.
+    ``und`` and 0. Repeated rows get equal results, an empty table an empty one; columns of the same names
+    are replaced, others pass through. Of equal shares the language with more texts wins.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "known_share", "n_grams")]
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by max_grams and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample: max_texts of each language
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "known_share double", "n_grams long"])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))

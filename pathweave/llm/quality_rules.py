@@ -127,7 +127,8 @@ def apply_rules(docs: DataFrame, trees: FlatTrees, keep: list[str] | None = None
     """Add the base counts, ``base_failed``, ``bad_score`` and ``kept`` to the columns ``keep``.
 
     A null text has no words, hence fails the base rules, as an empty one does. Every row is judged on
-    its whole text by itself, so repeated rows get equal verdicts.
+    its whole text by itself, so repeated rows get equal verdicts; an empty table gives an empty result.
+    A badness of exactly ``max_bad`` is not kept. Columns of the same names are replaced.
     """
     names = [*BASE, "base_failed", "bad_score", "kept"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in names]

@@ -35,8 +35,14 @@ from .common import open_input, open_output, scratch, written
 
 #: Payloads below this size are always stored.
 LEAST_REVISIT = 1000
+#: Digests up to which those that repeat are broadcast (60 bytes each) rather than joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Bytes after which a task begins a new archive file.
 ROLL = 64_000_000
+#: Bytes of an archive whose records are read in a row.
+STRETCH = 1_000_000
+#: Bytes of archives that one task reads, about.
+READ = 32_000_000
 #: Lines in a block at least, and blocks in an index at most (but for one a partition).
 BLOCK_LINES, MOST_BLOCKS = 256, 100_000
 #: The names that the format prescribes.
@@ -153,13 +159,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     Of records with equal payloads of ``LEAST_REVISIT`` bytes or more that with the largest page_id is a
     response, the others are revisits of it. Rows without a page_id are responses. A null html is an
-    empty payload, a null url leaves out the target.
+    empty payload, a null url leaves out the target. Repeated rows have a record each, an empty table none;
+    other columns, whatever their names, are left out.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("bytes"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
-    stored = rows.where(f"bytes >= {LEAST_REVISIT}").groupBy("digest").agg(F.max("page_id").alias("root"))
-    stored = written(stored, "payloads")
-    met = rows.join(stored, "digest", "left")
+    # Only digests that repeat are looked up, so pages that repeat nothing don't move.
+    sizes = rows.where(f"bytes >= {LEAST_REVISIT}").groupBy("digest").agg(F.max("page_id").alias("root"), F.count("*").alias("n"))
+    repeated = written(sizes.where("n > 1").select("digest", "root"), "payloads")
+    met = rows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated, "digest", "left")
     refers = F.when(F.col("page_id") != F.col("root"), F.col("root"))
     payload = F.when(refers.isNull(), F.col("html"))
     out = met.select("page_id", "url", payload.alias("html"), "bytes", "digest", refers.alias("refers_to"))
@@ -257,6 +265,8 @@ class CaptureIndex:
         self.folder = folder or scratch(self.spark, "warc")
         self.captures = write_archives(pages, f"{self.folder}/archives")
         self.directory = build_index(self.captures, f"{self.folder}/index")
+        stored = self.captures.agg(F.sum("length").alias("n")).first()["n"] or 0
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), stored // READ)
         self.search = Directory.of(self.directory)  # about MOST_BLOCKS rows at most
 
     def find(self, url: str) -> list[Record]:
@@ -302,8 +312,8 @@ class CaptureIndex:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(to_blocks, "key string, block long").distinct()
-        places = asked.repartition("block").sortWithinPartitions("block", "key").mapInArrow(in_blocks, "file string, offset long, length long")
-        spread = places.withColumn("stretch", F.floor(F.col("offset") / 4_000_000)).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+        places = asked.repartition(self.parts, "block").sortWithinPartitions("block", "key").mapInArrow(in_blocks, "file string, offset long, length long")
+        spread = places.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition(self.parts, "file", "stretch").sortWithinPartitions("file", "offset")
         return spread.select("file", "offset", "length").mapInArrow(in_archives, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
