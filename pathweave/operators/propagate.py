@@ -4,11 +4,14 @@
 of the step relation has the identity as seeds, a single-source one a single pair, a product followed
 by a closure the product.
 
-Two strategies give the same pairs. Where the step relation has at most ``BROADCAST_EDGES`` edges
-(counted, never assumed) it goes to all tasks as a compressed adjacency, and each task carries blocks of
-sources along it as bit sets, 64 sources to a word: one job, no matter how long the paths are. Beyond
-that the driver runs a semi-naive loop of joins: only the pairs that are new are joined again, and each
-round's result is written, so that plans stay small.
+All strategies give the same pairs. Where the step relation has at most ``BROADCAST_EDGES`` edges
+(counted, never assumed) it goes to all tasks, and each task carries blocks of sources along it as bit
+sets, 64 sources to a word: one job, no matter how long the paths are. What goes is a compressed
+adjacency (``broadcast``), or, where a trial search is not over after ``DEEP`` rounds, its strongly
+connected components (``condense``). Beyond that many edges the driver runs a semi-naive loop of joins
+(``joins``): only the pairs that are new are joined again, and each round's result is written, so that
+plans stay small. A closure with open ends that is not over after ``SHALLOW`` rounds is squared from there
+on, which doubles the length of paths in each round.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 
 from pathweave.session import written
 
+from .condense import Condensed
+
 #: Edges of a step relation up to which it is sent to all tasks: 2 million, 32 MB.
 BROADCAST_EDGES = 2_000_000
 #: Bytes of bit sets that a task holds for a block of sources.
 BLOCK_BYTES = 64_000_000
+#: Rounds of a trial search after which the components are taken, and of joins after which squares are.
+DEEP, SHALLOW = 64, 8
 SCHEMA = "row long, col long"
 
 
@@ -65,6 +72,21 @@ class Adjacency:
         at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
         return at, self.ids[at] == nodes
 
+    def deep(self, rounds: int) -> bool:
+        """Whether a search from 64 nodes, dealt evenly over all, goes on for more than so many rounds."""
+        some = np.unique(np.linspace(0, len(self.ids) - 1, 64).astype(np.int64)) if len(self.ids) else np.zeros(0, np.int64)
+        seen = np.zeros(len(self.ids), bool)
+        active = some
+        for _ in range(rounds):
+            if not len(active):
+                return False
+            count = self.starts[active + 1] - self.starts[active]
+            edge = np.repeat(self.starts[active] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            active = np.unique(self.target[edge])
+            active = active[~seen[active]]
+            seen[active] = True
+        return len(active) > 0
+
     def reach(self, slot: np.ndarray, node: np.ndarray, words: int, stop: tuple[int, int] | None = None) -> np.ndarray:
         """Bit sets (a row of words for each node) of the slots that reach it by one step or more.
 
@@ -105,11 +127,13 @@ class Adjacency:
         return found
 
 
-def _kernel(adjacency, keep_seeds: bool, target: int | None):
+def _kernel(shared, keep_seeds: bool, target: int | None):
     """Carries the seeds of a partition, sorted by row, in blocks of sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph: Adjacency = adjacency.value
+        graph: Adjacency
+        condensed: Condensed | None
+        graph, condensed = shared.value
         words = int(min(64, max(1, BLOCK_BYTES // (16 * max(1, len(graph.ids))))))
 
         def out(rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,7 +147,11 @@ def _kernel(adjacency, keep_seeds: bool, target: int | None):
             if target is not None and len(sources) == 1:
                 at, there = graph.dense(np.array([target]))
                 stop = (0, int(at[0])) if there[0] else None
-            found = graph.reach(slot[known], node[known], words, stop)
+            if condensed is not None:
+                found = condensed.reach(slot[known], node[known], words, BLOCK_BYTES)
+                found = found[condensed.component]  # of each node the bits of its component
+            else:
+                found = graph.reach(slot[known], node[known], words, stop)
             if keep_seeds:
                 np.bitwise_or.at(found, (node[known], slot[known] >> 6), np.uint64(1) << (slot[known] & 63).astype(np.uint64))
                 yield from out(rows[~known], cols[~known])
@@ -152,23 +180,25 @@ def _kernel(adjacency, keep_seeds: bool, target: int | None):
     return run
 
 
-def propagate(seeds: DataFrame, step: DataFrame, keep_seeds: bool, target: int | None = None, strategy: str = "auto", deadline: float | None = None) -> DataFrame:
+def propagate(seeds: DataFrame, step: DataFrame, keep_seeds: bool, target: int | None = None, strategy: str = "auto", deadline: float | None = None, edges: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Distinct pairs (row, col) of seeds · step* (``keep_seeds``) or seeds · step+.
 
     ``target`` says that only pairs with this col are wanted: the search of a single source may end when
-    it is reached (other pairs may then be missing; the caller filters). ``strategy`` is auto, broadcast
-    or joins.
+    it is reached (other pairs may then be missing; the caller filters). ``strategy`` is auto, broadcast,
+    condense or joins. ``edges`` are the step relation's, where the caller has read them.
     """
     check(deadline)
     seeds, step = seeds.select("row", "col").distinct(), step.select("row", "col")
-    if strategy in ("auto", "broadcast"):
-        edges = small_edges(step, BROADCAST_EDGES)
+    if strategy in ("auto", "broadcast", "condense"):
+        edges = edges if edges is not None else small_edges(step, BROADCAST_EDGES)
         if edges is not None:
             check(deadline)
-            shared = seeds.sparkSession.sparkContext.broadcast(Adjacency(*edges))  # at most BROADCAST_EDGES edges
+            graph = Adjacency(*edges)
+            condensed = Condensed(graph) if strategy == "condense" or (strategy == "auto" and graph.deep(DEEP)) else None
+            shared = seeds.sparkSession.sparkContext.broadcast((graph, condensed))  # at most BROADCAST_EDGES edges
             blocks = seeds.repartition("row").sortWithinPartitions("row")
             return blocks.mapInArrow(_kernel(shared, keep_seeds, target), SCHEMA)
-        if strategy == "broadcast":
+        if strategy != "auto":
             raise ValueError(f"the step relation has more than {BROADCAST_EDGES} edges")
     return semi_naive(seeds, step, keep_seeds, target, deadline)
 
@@ -196,6 +226,34 @@ def semi_naive(seeds: DataFrame, step: DataFrame, keep_seeds: bool, target: int
             return found
 
 
+def closed(step: DataFrame, strategy: str = "auto", deadline: float | None = None) -> DataFrame:
+    """Distinct pairs of step+, both ends open; ``strategy`` may be squaring, too."""
+    if strategy == "squaring":
+        return squaring(step, deadline)
+    edges = None
+    if strategy == "auto":
+        edges = small_edges(step.select("row", "col"), BROADCAST_EDGES)
+        if edges is None:
+            return shallow_then_squared(step, deadline)
+    starts = step.select("row").distinct().select("row", F.col("row").alias("col"))
+    return propagate(starts, step, False, strategy=strategy, deadline=deadline, edges=edges)
+
+
+def shallow_then_squared(step: DataFrame, deadline: float | None = None) -> DataFrame:
+    """step+ by joins for ``SHALLOW`` rounds, then, if there are longer paths, by squares of what was found."""
+    step = written(step.select("row", "col").distinct(), "step")
+    onward = step.select(F.col("row").alias("mid"), F.col("col").alias("to"))
+    found = new = step
+    for k in range(SHALLOW):
+        check(deadline)
+        ahead = new.join(onward, new["col"] == onward["mid"]).select("row", F.col("to").alias("col")).distinct()
+        new = written(ahead.join(found, ["row", "col"], "left_anti"), f"new-{k}")
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+    return squaring(found, deadline)
+
+
 def squaring(step: DataFrame, deadline: float | None = None) -> DataFrame:
     """step+ by repeated squaring: rounds in the logarithm of the longest path, for very long chains."""
     found = written(step.select("row", "col").distinct(), "square-0")

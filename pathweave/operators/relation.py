@@ -13,9 +13,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.session import written
+from pathweave.session import delete, scratch
 
-from .propagate import SCHEMA, propagate, squaring
+from .propagate import SCHEMA, closed, propagate
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,7 @@ class BoolMatrix:
 
     pairs: DataFrame
     dims: tuple[int, int] | None = None
+    path: str | None = None  # of a materialized relation
 
     # -- making -----------------------------------------------------------------------------------
     @classmethod
@@ -96,7 +97,7 @@ class BoolMatrix:
             out = out.where(F.col("row") == F.lit(row).cast("long"))
         if col is not None:
             out = out.where(F.col("col") == F.lit(col).cast("long"))
-        return replace(self, pairs=out)
+        return replace(self, pairs=out, path=None)
 
     # -- sets -------------------------------------------------------------------------------------
     def _dims_with(self, other: BoolMatrix) -> tuple[int, int] | None:
@@ -162,17 +163,12 @@ class BoolMatrix:
         """
         spark = self.pairs.sparkSession
         if row is None and col is None:
-            if strategy == "squaring":
-                out = squaring(self.pairs, deadline)
-            else:
-                starts = self.pairs.select("row").distinct().select("row", F.col("row").alias("col"))
-                out = propagate(starts, self.pairs, False, strategy=strategy, deadline=deadline)
-            closed = BoolMatrix(out, self.dims)
+            whole = BoolMatrix(closed(self.pairs, strategy, deadline), self.dims)
             if not reflexive:
-                return closed
+                return whole
             if nodes is None:
                 raise ValueError("a reflexive closure needs the nodes")
-            return closed.or_(BoolMatrix.identity(nodes))
+            return whole.or_(BoolMatrix.identity(nodes))
         if row is None:
             return self.T.closure(reflexive, nodes, row=col, strategy=strategy, deadline=deadline).T
         if col is not None and self.degree(col=col) < self.degree(row=row):
@@ -210,4 +206,11 @@ class BoolMatrix:
 
     def materialized(self) -> BoolMatrix:
         """The same cells, computed once and written to the shared folder."""
-        return replace(self, pairs=written(self.pairs, "matrix"))
+        path = scratch(self.pairs.sparkSession, "matrix")
+        self.pairs.write.parquet(path)
+        return replace(BoolMatrix.load(self.pairs.sparkSession, path, self.dims), path=path)
+
+    def destroy(self) -> None:
+        """Delete the table of a materialized relation; nothing that reads it can be used after that."""
+        if self.path is not None:
+            delete(self.pairs.sparkSession, self.path)

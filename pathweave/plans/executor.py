@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pathweave.operators.propagate import Timeout, check
 from pathweave.operators.relation import BoolMatrix
+from pathweave.session import intermediates
 from pathweave.sources.graph import GraphStore
 
 from .ast import Alt, Concat, Label, Opt, Path, Plus, Star, labels, mandatory_labels, reverse
@@ -33,8 +34,9 @@ LARGE, FRONTIER = 10_000_000, 200_000
 class Solver:
     """Answers path queries over ``graph``.
 
-    ``on_unknown`` says what an unknown label or constant gives: ``empty`` (the whole query has no answer)
-    or ``error``. ``strategy`` is that of closures; ``engine`` is ``algebra`` or ``nfa``. ``timeout`` is in
+    ``on_unknown`` says what an unknown label or constant gives: ``empty`` (the whole query has no answer),
+    ``error``, or ``no_edges`` (a label that the graph doesn't have is the empty relation, so that the rest of
+    the query may still answer; an unknown constant gives no answer). ``strategy`` is that of closures; ``engine`` is ``algebra`` or ``nfa``. ``timeout`` is in
     seconds and looked at between jobs.
     """
 
@@ -53,7 +55,7 @@ class Solver:
         self._deadline = None if self.timeout is None else time.monotonic() + self.timeout
         self._known = {}
         ends = []
-        unknown = sorted(labels(tree) - self.graph.labels())
+        unknown = [] if self.on_unknown == "no_edges" else sorted(labels(tree) - self.graph.labels())
         for end in (subject, object_):
             ends.append(None if end is None else self.graph.node_id(end))
             if end is not None and ends[-1] is None:
@@ -62,7 +64,7 @@ class Solver:
             if self.on_unknown == "error":
                 raise KeyError(f"not in the graph: {', '.join(unknown)}")
             return BoolMatrix.empty(self.graph.spark)
-        if mandatory_labels(tree) - self.graph.labels():
+        if mandatory_labels(tree) - self.graph.labels():  # no match can do without a label that has no edge
             return BoolMatrix.empty(self.graph.spark)
         if self.engine == "nfa":
             return evaluate_nfa(self.graph, tree, ends[0], ends[1], self.strategy, self._deadline)
@@ -197,7 +199,7 @@ def run_workload(graph: GraphStore, lines: Iterable[str], timeout: float | None
 
     Blank lines are skipped but counted. ``status`` is ok, unknown (a label or constant the graph doesn't
     have: 0 pairs), timeout (n_pairs null) or error (a line that can't be read, n_pairs null). A query that
-    runs over its time is cancelled in Spark.
+    runs over its time is cancelled in Spark. What a query wrote on its way is deleted when it is counted.
     """
     spark = graph.spark
     rows = []
@@ -213,7 +215,8 @@ def run_workload(graph: GraphStore, lines: Iterable[str], timeout: float | None
             if timeout is not None:
                 timer = _cancel_after(spark, tag, timeout)
             spark.addTag(tag)
-            n = solver.solve(query.subject, query.path, query.object).count()
+            with intermediates(spark):
+                n = solver.solve(query.subject, query.path, query.object).count()
         except KeyError:
             status, n = "unknown", 0
         except PathSyntaxError:

@@ -7,13 +7,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.operators.relation import BoolMatrix
+from pathweave.session import open_output
 
 #: Labels up to which statistics and dictionaries of labels come to the driver.
 MOST_LABELS = 1_000_000
+_NODES = "id long, term string"
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -55,13 +58,14 @@ def write_partitioned(edges: DataFrame, path: str) -> None:
 
 
 def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Binary files ``NNNN.pairs`` of little-endian unsigned 32-bit (s, o): columns s, p (the number in the name), o."""
+    """Binary files ``NNNN.pairs`` (or ``NNNN-K.pairs``) of little-endian unsigned 32-bit (s, o): columns s, p
+    (the number NNNN in the name), o."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pairs").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = int(path.rsplit("/", 1)[-1].removesuffix(".pairs"))
+                p = int(path.rsplit("/", 1)[-1].removesuffix(".pairs").split("-")[0])
                 cells = np.frombuffer(content.as_buffer(), "<u4").reshape(-1, 2).astype(np.int64)
                 for i in range(0, len(cells), 1 << 18):
                     part = cells[i : i + (1 << 18)]
@@ -70,15 +74,64 @@ def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, "s long, p int, o long").distinct()
 
 
+def write_pairs(triples: DataFrame, folder: str) -> None:
+    """Binary files of little-endian unsigned 32-bit (s, o) from triples (s, p int, o): ``NNNN.pairs`` for
+    predicate NNNN.
+
+    Tasks write ranges of the sorted triples, so that a predicate with many is not one task's work; it then
+    has further files ``NNNN-K.pairs`` that belong behind the first. Other files in the folder stay. Ids
+    and predicates that don't fit are an error.
+    """
+    spark = triples.sparkSession
+    odd = triples.where("NOT (s BETWEEN 0 AND 4294967295 AND o BETWEEN 0 AND 4294967295 AND p >= 0)").limit(1).collect()
+    if odd:
+        raise ValueError(f"not an unsigned 32-bit pair: {tuple(odd[0])}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        now, stream, done = None, None, []
+        for batch in batches:
+            s, p, o = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.diff(p, prepend=p[:1] - 1)) if len(p) else []
+            for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True):
+                if p[a] != now:
+                    if stream is not None:
+                        stream.close()
+                    now = int(p[a])
+                    # A name of the try: one that failed leaves nothing that is taken for a result.
+                    done.append((now, task.partitionId(), f"{folder}/_parts/{now}-{task.partitionId()}-{task.taskAttemptId()}"))
+                    stream = open_output(done[-1][2])
+                stream.write(np.stack([s[a:b], o[a:b]], 1).astype("<u4").tobytes())
+        if stream is not None:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["p", "part", "file"])
+
+    order = ["p", "s", "o"]
+    dealt = triples.select("s", F.col("p").cast("int").alias("p"), "o").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    files = sorted((r["p"], r["part"], r["file"]) for r in dealt.mapInArrow(run, "p int, part int, file string").collect())  # a row for each file
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, (p, _, file) in enumerate(files):
+        k = i - next(j for j in range(i, -1, -1) if j == 0 or files[j - 1][0] != p)
+        target = path(f"{folder}/{p:04d}{f'-{k}' if k else ''}.pairs")
+        system.delete(target, False)
+        system.rename(path(file), target)
+    system.delete(path(f"{folder}/_parts"), True)
+
+
 @dataclass
 class GraphStore:
     """``edges`` [s long, p string, o long] without repeats, and the universe ``nodes`` [id long, term string].
 
-    Labels are strings; ``stats`` are collected on first use.
+    Labels are strings; ``stats`` are collected on first use, or read where the graph was stored. ``terms`` are
+    the nodes in the order of their terms, where the graph was stored.
     """
 
     edges: DataFrame
     nodes: DataFrame
+    terms: DataFrame | None = None
+    stored_stats: DataFrame | None = None
+    all_ends: bool = False
     _stats: dict[str, tuple[int, int, int]] | None = field(default=None, repr=False)
 
     @classmethod
@@ -86,11 +139,17 @@ class GraphStore:
         """From any DataFrame with s, p, o; without ``nodes`` the universe is all ends of edges."""
         edges = edges.select(F.col("s").cast("long").alias("s"), F.col("p").cast("string").alias("p"), F.col("o").cast("long").alias("o")).dropna().distinct()
         if nodes is None:
-            nodes = edges.select(F.col("s").alias("id")).union(edges.select("o")).distinct()
+            return cls(edges, cls._ends(edges), all_ends=True)
         if "term" not in nodes.columns:
-            nodes = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).distinct().withColumn("term", F.col("id").cast("string"))
+            nodes = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).dropna().distinct().withColumn("term", F.col("id").cast("string"))
         return cls(edges, nodes.select(F.col("id").cast("long").alias("id"), "term"))
 
+    @staticmethod
+    def _ends(edges: DataFrame) -> DataFrame:
+        """All ends of edges as nodes."""
+        ids = edges.select(F.explode(F.array("s", "o")).alias("id")).distinct()
+        return ids.withColumn("term", F.col("id").cast("string"))
+
     @classmethod
     def from_files(cls, spark: SparkSession, triples: str, nodes: str | None = None, predicates: str | None = None) -> GraphStore:
         """From the three text files: triples, vertex dictionary and predicate dictionary."""
@@ -117,16 +176,21 @@ class GraphStore:
     def stats(self) -> dict[str, tuple[int, int, int]]:
         """Label → (edges, about how many sources, targets); one aggregation, a row for each label.
 
-        What plans need; :func:`label_stats` has exact figures.
+        What plans need; :func:`label_stats` has exact figures. Of a stored graph they are read.
         """
         if self._stats is None:
-            counts = F.count("*").alias("n_edges"), F.approx_count_distinct("s").alias("n_src"), F.approx_count_distinct("o").alias("n_dst")
-            rows = self.edges.groupBy("p").agg(*counts).limit(MOST_LABELS + 1).collect()
+            table = self.stored_stats if self.stored_stats is not None else self._count(self.edges)
+            rows = table.limit(MOST_LABELS + 1).collect()
             if len(rows) > MOST_LABELS:
                 raise ValueError(f"the graph has more than {MOST_LABELS} labels")
             self._stats = {r["p"]: (r["n_edges"], r["n_src"], r["n_dst"]) for r in rows}
         return self._stats
 
+    @staticmethod
+    def _count(edges: DataFrame) -> DataFrame:
+        counts = F.count("*").alias("n_edges"), F.approx_count_distinct("s").alias("n_src"), F.approx_count_distinct("o").alias("n_dst")
+        return edges.groupBy("p").agg(*counts)
+
     def labels(self) -> set[str]:
         """The labels that edges have."""
         return set(self.stats())
@@ -137,16 +201,26 @@ class GraphStore:
             rows = self.nodes.where(F.col("id") == term)
         else:
             bare = term[1:-1] if term.startswith("<") and term.endswith(">") else term
-            rows = self.nodes.where(F.col("term").isin(term, bare, f"<{bare}>"))
+            rows = (self.nodes if self.terms is None else self.terms).where(F.col("term").isin(term, bare, f"<{bare}>"))
         found = rows.select("id").limit(1).collect()
         return found[0]["id"] if found else None
 
     def save(self, path: str) -> None:
-        """Edges in a folder for each label, nodes beside them."""
+        """Edges in a folder for each label; nodes sorted by id and again by term, so that a constant is found
+        in few row groups; the labels' figures beside them."""
         write_partitioned(self.edges, f"{path}/edges")
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        edges = self._stored_edges(self.spark, path)
+        nodes = self._ends(edges) if self.all_ends else self.nodes
+        self._count(edges).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # a row for each label
+        nodes.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
+        nodes = self.spark.read.schema(_NODES).parquet(f"{path}/nodes")
+        nodes.repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+    @staticmethod
+    def _stored_edges(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.schema("s long, o long, p string").option("basePath", f"{path}/edges").parquet(f"{path}/edges").select("s", "p", "o")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> GraphStore:
-        edges = spark.read.option("basePath", f"{path}/edges").parquet(f"{path}/edges").select("s", F.col("p").cast("string").alias("p"), "o")
-        return cls(edges, spark.read.parquet(f"{path}/nodes"))
+        nodes, terms = (spark.read.schema(_NODES).parquet(f"{path}/{name}") for name in ("nodes", "terms"))
+        return cls(cls._stored_edges(spark, path), nodes, terms, spark.read.parquet(f"{path}/stats"))
