@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.session import scratch, shared_dir, written  # noqa: F401  for the operators
+from pathweave.session import open_input, open_output, scratch, shared_dir, written  # noqa: F401  for the operators
 
 #: Bytes of text that numpy code looks at in one go; one longer text is a chunk of its own.
 CHUNK_BYTES = 1_000_000
@@ -150,20 +149,3 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """``buf`` with A-Z as a-z and all else as it is."""
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-
-
-def open_output(uri: str):
-    """A binary stream on a new file of any file system that Arrow knows; parents are made."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    return system.open_output_stream(path, compression=None)
-
-
-def open_input(uri: str):
-    """A seekable binary file."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-    return system.open_input_file(path)

@@ -50,7 +50,7 @@ _TABLE: np.ndarray | None = None
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams, the text each belongs to, and the number of letters of each text.
 
-    Only n-grams of a text with a letter are given, and a text is taken with a space on either side.
+    Only n-grams of a text with a letter are given, and a text is taken with a space before it.
     """
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)

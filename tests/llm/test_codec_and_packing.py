@@ -162,3 +162,59 @@ def test_plan_places_everything_once():
         for inside in spots.values():
             assert sorted(s for s, _ in inside) == list(range(len(inside)))
             assert sum(n for _, n in inside) <= 128
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: equal hashes in every base modulo a power of two."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_that_weak_hashes_mix_up(reference, json_reference, n):
+    texts = thue_morse(n)
+    for path, want in ((MULTI, reference.encode_ordinary), (SINGLE, json_reference)):
+        assert encode(path, texts) == [want(t) for t in texts]  # in one batch
+        assert [encode(path, [t])[0] for t in texts] == [want(t) for t in texts]  # one after the other
+        tokens = bpe.vocabulary(path).tokens
+        assert [bpe.decode(np.array(i), tokens).decode() for i in encode(path, texts)] == texts
+
+
+def test_equal_hashes_of_different_pieces(reference, monkeypatch):
+    import pyarrow as pa
+
+    real = bpe.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *x: real(*x) % np.uint64(7))
+    coder, texts = bpe.Encoder(bpe.vocabulary(MULTI)), tricky(200, 3)
+    for _ in range(2):
+        ids, at = coder.encode(pa.array(texts))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [reference.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 300])
+def test_long_texts_are_scanned_in_stretches(reference, monkeypatch, stretch):
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    texts = tricky(60, 5)
+    assert encode(MULTI, texts) == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_a_text_of_megabytes(reference):
+    text = "Some wörds, it's 123 of them\n\n  and more🙂. " * 60_000
+    (ids,) = encode(MULTI, [text])
+    assert ids == reference.encode_ordinary(text)
+
+
+def test_span_hashes_are_of_the_bytes_alone():
+    from pathweave.llm.common import span_hashes
+
+    rng = np.random.default_rng(1)
+    buf = rng.integers(97, 99, 60_000, dtype=np.uint8)
+    starts = rng.integers(0, 59_000, 4000)
+    ends = starts + rng.integers(1, 12, 4000)
+    kinds = {}
+    for h, a, b in zip(span_hashes(buf, starts, ends).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        kinds.setdefault(buf[a:b].tobytes(), set()).add(h)
+    assert all(len(hashes) == 1 for hashes in kinds.values())
+    assert len({h for hashes in kinds.values() for h in hashes}) == len(kinds)

@@ -157,3 +157,139 @@ def test_trees_without_two_classes():
     for y in (np.zeros(5), np.ones(5), np.zeros(0)):
         trees = quality_rules.grow(np.zeros((len(y), 2)), y, np.zeros(2))
         assert len(trees.roots) == 0 and trees.probability(np.zeros((3, 2))).shape == (3,)
+
+
+# -- whole texts and scores, word for word ------------------------------------------------------------------
+
+
+def quick_base_counts(text):
+    """As :func:`base_counts`, in time that long texts allow."""
+    import collections
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    times = collections.Counter(windows)
+    marked = {j for i, w in enumerate(windows) if times[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked)
+
+
+def test_rules_base_counts_of_long_texts(spark, sf, texts, odd, labels):
+    got = op9_quality_rules(spark, sf).toPandas().set_index("doc_id")
+    assert max(map(len, texts.values())) > 6000  # beyond what the test above looks at
+    for i, text in texts.items():
+        assert tuple(got.loc[i, doc_stats.BASE]) == quick_base_counts(text), i
+        if len(text) < 2000:
+            assert quick_base_counts(text) == base_counts(text)
+    for r in quality_rules.apply_rules(odd, quality_rules.fit(odd, labels)).collect():
+        assert tuple(r[b] for b in doc_stats.BASE) == quick_base_counts(r["text"])
+
+
+def walk(trees, x):
+    """The badness of one row of statistics, node by node."""
+    total = trees.start
+    for root in trees.roots.tolist():
+        at = root
+        while trees.feature[at] >= 0:
+            at = int(trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at])
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_rules_verdicts(spark, sf, texts):
+    import pyarrow as pa
+
+    docs, marks = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    trees = quality_rules.fit(docs, marks)
+    for r in op9_quality_rules(spark, sf).collect():
+        bad = walk(trees, doc_stats.measure(pa.array([texts[r["doc_id"]]]))[1][0])
+        assert r["bad_score"] == pytest.approx(bad, abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and bad < 0.5)
+
+
+def statistics(text):
+    """The eighteen statistics, one by one."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.split()]
+    n, n_lines, distinct = max(len(words), 1), max(len(lines), 1), set(words)
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    lower, upper = sum(97 <= b <= 122 for b in raw), sum(65 <= b <= 90 for b in raw)
+    digit, space = sum(48 <= b <= 57 for b in raw), sum(b in b" \t\n\r\x0b\x0c" for b in raw)
+    symbol, point, shout = count("#*$%&|<>"), count(".,;:'\"()-"), count("!?")
+    lead, cont = sum(b >= 0xC0 for b in raw), sum(0x80 <= b < 0xC0 for b in raw)
+    other = len(raw) - lower - upper - digit - space - symbol - point - shout - lead - cont
+    solid, letters = max(len(raw) - cont - space, 1), max(lower + upper, 1)
+    dup, repeat = quick_base_counts(text)[3:]
+    return [
+        np.log1p(len(words)) / 10, min(solid / n / 20, 2), symbol / solid, upper / letters, digit / solid, point / solid, shout / solid, other / solid, lead / solid,
+        min(symbol / n, 3) / 3, dup / n_lines, repeat / n, len(distinct) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, min(n / n_lines / 100, 2),
+        sum(len(x.split()) < 3 for x in lines) / n_lines, np.log1p(len(lines)) / 10, sum(w.isupper() for w in words) / n,
+    ]
+
+
+def test_quality_scores(spark, sf, texts):
+    """The query's scores are the fitted network's, unit by unit, on each whole text."""
+    docs, marks = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, marks)
+    assert 0.6 < model.prior < 0.98
+    a, b, c, d = model.weights
+    for r in op1_quality_classifier(spark, sf).collect():
+        x = statistics(texts[r["doc_id"]])
+        z = [min(6, max(-6, (v - m) / s)) for v, m, s in zip([*x, *(max(v, 0) ** 0.5 for v in x)], model.mean, model.scale, strict=True)]
+        margin = d[0] + sum(c[k] * np.tanh(b[k] + sum(v * a[i][k] for i, v in enumerate(z))) for k in range(len(c)))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-6)
+        assert r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"])
+
+
+def test_the_prior_needs_no_bad_marks(spark, sf):
+    docs, marks = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    assert quality.fit(docs, marks).prior == quality.fit(docs, marks.where("quality = 1")).prior
+
+
+def scalar_hash(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 32
+
+
+def test_language_scores(spark, sf, texts):
+    """The query's languages and scores, n-gram by n-gram with one look into the filters for each."""
+    filters = language_id.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    size = len(filters.slots)
+    known = {}
+
+    def carriers(gram):
+        if gram not in known:
+            h = scalar_hash(gram)
+            places = [(h + k * (h >> 32 | 1)) % 2**64 % size for k in range(filters.hashes)]
+            known[gram] = [all(filters.slots[p, i // 8] >> (i % 8) & 1 for p in places) for i in range(len(filters.languages))]
+        return known[gram]
+
+    for r in op8_language_id(spark, sf).collect():
+        text = texts[r["doc_id"]] or ""
+        if len(text) > 8000:
+            continue  # the query's own work; plain Python takes too long here
+        out = " "
+        for ch in text:
+            low = ch.lower() if len(ch.lower()) == 1 else ch
+            out += low if ch.isalpha() else " " if out[-1] != " " else ""
+        grams = [out[i : i + 4] for i in range(len(out) - 3)]
+        hits = np.array([carriers(g) for g in grams]).reshape(-1, len(filters.languages)).sum(0)
+        share = np.clip((hits / max(1, len(grams)) - filters.rates) / (1 - filters.rates), 0, 1)
+        top, second = sorted(share)[-1], sorted(share)[-2]
+        assert r["lang_pred"] == (filters.languages[int(share.argmax())] if any(map(str.isalpha, text)) else "und")
+        assert r["score"] == pytest.approx(top * top / (top + second) if top else 0, abs=1e-9)
+
+
+def test_samples_of_any_table_size(spark):
+    from pathweave.llm.common import sampled
+
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert sampled(ids, "doc_id", 2.0, 3).count() == 200_000
+    assert abs(sampled(ids, "doc_id", 0.01, 3).count() - 2000) < 300
+    assert sampled(ids, "doc_id", 1e-9, 3).count() <= 1  # a share far below a millionth
+    assert sampled(ids, "doc_id", 0.01, 3).exceptAll(sampled(ids.repartition(7), "doc_id", 0.01, 3)).count() == 0
