@@ -2,6 +2,10 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again
 as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+A null text counts as an empty one, and the first stage rejects it as a text without a letter; an empty table
+gives empty tables. Rows are judged on their whole texts, however long; columns of any other names pass
+through, also those that an operator uses itself.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ def _aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, Callable[[Data
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no learned language explains."""
+    """Rejects texts without a letter and texts that no learned language explains; repeated rows go or stay
+    together. Where no row has a language nothing is learned and all rows go."""
     tune(spark)
     free, back = _aside(docs, ["lang_pred", "score", "known_share", "n_grams"])
     out = language_id.identify(free, language_id.fit(docs))
@@ -36,7 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that the positive-unlabelled classifier doesn't predict to be good."""
+    """Rejects texts that the positive-unlabelled classifier doesn't predict to be good.
+
+    Without a text marked good there is nothing to learn from: all score 0.5 and go."""
     tune(spark)
     free, back = _aside(docs, ["score", "predicted"])
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +53,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the least id.
 
-    Of rows that share an id all stay or go together.
+    Near duplicates share 0.8 of their five-word shingles. Rows without an id or without words stay; of rows
+    that share an id all stay or go together.
     """
     tune(spark)
     verdicts = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
@@ -54,14 +62,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of over 50 words that occurred before out of the texts; texts left empty go."""
+    """Takes passages of over 50 words that occurred in an earlier document out of the texts; texts left empty go.
+
+    "Earlier" is a smaller id. A passage that repeats only within one document stays; rows that share an id
+    keep to their own texts; rows without an id stay as they are.
+    """
     tune(spark)
     had_words = F.trim(F.coalesce(F.col("text"), F.lit(""))) != ""
     return chunk_dedup.without_repeats(docs).where(had_words).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all that is left into sequences of 1024 tokens; a row for each piece."""
+    """Packs all that is left into sequences of 1024 tokens; a row for each piece, also of repeated rows."""
     tune(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
