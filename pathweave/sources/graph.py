@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.operators.relation import BoolMatrix
-from pathweave.session import open_output
+from pathweave.session import delete, exists, open_output
 
 #: Labels up to which statistics and dictionaries of labels come to the driver.
 MOST_LABELS = 1_000_000
@@ -124,7 +125,8 @@ class GraphStore:
     """``edges`` [s long, p string, o long] without repeats, and the universe ``nodes`` [id long, term string].
 
     Labels are strings; ``stats`` are collected on first use, or read where the graph was stored. ``terms`` are
-    the nodes in the order of their terms, where the graph was stored.
+    the nodes in the order of their terms, where the graph was stored. With ``plain`` a node's term is its id
+    in decimal, and no table of terms is needed.
     """
 
     edges: DataFrame
@@ -132,6 +134,7 @@ class GraphStore:
     terms: DataFrame | None = None
     stored_stats: DataFrame | None = None
     all_ends: bool = False
+    plain: bool = False
     _stats: dict[str, tuple[int, int, int]] | None = field(default=None, repr=False)
 
     @classmethod
@@ -139,9 +142,10 @@ class GraphStore:
         """From any DataFrame with s, p, o; without ``nodes`` the universe is all ends of edges."""
         edges = edges.select(F.col("s").cast("long").alias("s"), F.col("p").cast("string").alias("p"), F.col("o").cast("long").alias("o")).dropna().distinct()
         if nodes is None:
-            return cls(edges, cls._ends(edges), all_ends=True)
+            return cls(edges, cls._ends(edges), all_ends=True, plain=True)
         if "term" not in nodes.columns:
-            nodes = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).dropna().distinct().withColumn("term", F.col("id").cast("string"))
+            ids = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).dropna().distinct()
+            return cls(edges, ids.withColumn("term", F.col("id").cast("string")), plain=True)
         return cls(edges, nodes.select(F.col("id").cast("long").alias("id"), "term"))
 
     @staticmethod
@@ -197,10 +201,15 @@ class GraphStore:
 
     def node_id(self, term: str | int) -> int | None:
         """The id of a constant: an id, or a term with or without <>; None if the graph doesn't have it."""
+        bare = term[1:-1] if isinstance(term, str) and term.startswith("<") and term.endswith(">") else term
         if isinstance(term, int):
             rows = self.nodes.where(F.col("id") == term)
+        elif self.plain:
+            number = int(bare) if re.fullmatch(r"0|-?[1-9]\d{0,18}", bare) else None
+            if number is None or not -(1 << 63) <= number < 1 << 63:
+                return None
+            rows = self.nodes.where(F.col("id") == number)
         else:
-            bare = term[1:-1] if term.startswith("<") and term.endswith(">") else term
             rows = (self.nodes if self.terms is None else self.terms).where(F.col("term").isin(term, bare, f"<{bare}>"))
         found = rows.select("id").limit(1).collect()
         return found[0]["id"] if found else None
@@ -212,9 +221,12 @@ class GraphStore:
         edges = self._stored_edges(self.spark, path)
         nodes = self._ends(edges) if self.all_ends else self.nodes
         self._count(edges).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # a row for each label
+        nodes = nodes.select("id") if self.plain else nodes
         nodes.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
-        nodes = self.spark.read.schema(_NODES).parquet(f"{path}/nodes")
-        nodes.repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        delete(self.spark, f"{path}/terms")
+        if not self.plain:
+            nodes = self.spark.read.schema(_NODES).parquet(f"{path}/nodes")
+            nodes.repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def _stored_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -222,5 +234,9 @@ class GraphStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> GraphStore:
+        edges, stats = cls._stored_edges(spark, path), spark.read.parquet(f"{path}/stats")
+        if not exists(spark, f"{path}/terms"):
+            ids = spark.read.schema("id long").parquet(f"{path}/nodes")
+            return cls(edges, ids.withColumn("term", F.col("id").cast("string")), stored_stats=stats, plain=True)
         nodes, terms = (spark.read.schema(_NODES).parquet(f"{path}/{name}") for name in ("nodes", "terms"))
-        return cls(cls._stored_edges(spark, path), nodes, terms, spark.read.parquet(f"{path}/stats"))
+        return cls(edges, nodes, terms, stats)
