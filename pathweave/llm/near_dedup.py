@@ -14,8 +14,9 @@ their values, and nodes next to each other with a common prefix of two values or
    a tile gives out no more links than it has components.
 
 A pair of similarity 0.8 shares a two-value prefix in one of 16 orders but with chance 1e-7, and the
-screen (128 values, at least 88 equal) lets it pass with chance 0.999; links are only ever lost, never
-made up, as each is confirmed with ``100 * intersection >= 80 * union`` on the full sets.
+screen (128 values, at least 88 equal) lets it pass with chance 0.999. Each link is confirmed with
+``100 * intersection >= 80 * union`` on the full sets, as sets of 64-bit values made of the words' hashes by
+two polynomials in random bases (see ``common.span_hashes``).
 """
 
 from __future__ import annotations

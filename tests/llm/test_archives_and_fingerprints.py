@@ -97,6 +97,27 @@ def test_fingerprints_in_many_ranges(spark, odd, none):
     assert prints[2] == prints[3] == "" and prints[1] == prints[8] and prints[6] == prints[7] != prints[1]
 
 
+@pytest.mark.parametrize("per_part", [None, 7, 50])
+def test_an_id_with_many_texts_is_dealt_out(spark, per_part):
+    """A third of all rows share an id, some of them a text too; each is followed by the next text."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcé "), rng.integers(0, 40)))
+    rows = [(int(i), word()) for i in rng.integers(-50, 50, 200)] + [(5, word()) for _ in range(80)] + [(5, "same text")] * 20 + [(None, word()) for _ in range(9)]
+    got = fingerprints.with_followers(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), per_part).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(expected(rows), key=repr)
+
+
+def test_likeness_to_the_edited_and_the_next_text(spark, sf, texts):
+    got = {r["doc_id"]: r for r in op10_fingerprints(spark, sf).collect()}
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        text, follower = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
+        own, changed, after = (fingerprints.sketch(t.encode()) for t in (text, fingerprints.edited(text, follower), follower))
+        assert got[i]["fingerprint"] == fingerprints.to_text(own) and got[i]["edited_fingerprint"] == fingerprints.to_text(changed)
+        assert got[i]["near_edited"] == pytest.approx(fingerprints.likeness(own, changed))
+        assert got[i]["near_next"] == pytest.approx(fingerprints.likeness(own, after))
+
+
 def test_syncmers_are_context_free_and_cover():
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
