@@ -2,13 +2,13 @@
 
 The gear hash of the last ``WINDOW`` bytes is looked at after each word, and a chunk runs from one place
 where it is least to the next. In each window of ``MIN_WORDS`` words the chunk begins after the word of least
-hash in the window's first part and ends at the word of least hash among those that keep it between
-``least_words`` and ``most_words`` words. All hashes looked at are of bytes inside the window, so it is
+hash in the window's first part and ends at the word of least hash among those that keep it between 14
+and 20 words. All hashes looked at are of bytes inside the window, so it is
 the same chunk wherever the window stands: an insertion moves chunks only near itself, and no passage of
 ``MIN_WORDS`` words, however short these are, can hide.
 
-Chunks are deduplicated by digest: those that stand in one text only are dropped, and with them all windows
-they were taken from. What is left is compared on the texts (see :mod:`.passages`).
+Chunks are deduplicated by digest: sorted by it, those that stand in one place only are dropped, and with them
+all windows they were taken from. What is left is compared on the texts (see :mod:`.passages`).
 
 ``chunk_ends`` cuts whole texts at bytes by the same hash, with no regard to words.
 """
@@ -20,10 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import span_hashes, text_chunks, utf8, words_of, written
-from .passages import MIN_WORDS, cut_out, least_in, matches, occurrences, rows_of, runs_of
+from .common import span_hashes, text_chunks, utf8, words_of
+from .passages import MIN_WORDS, RUN, RUN_SCHEMA, cut_out, least_in, matches, occurrences, rows_of, run_table, runs_of, shared_runs
 
 #: A chunk of bytes ends where so many top bits of the hash are zero; sizes in bytes; 52 on average.
 BITS, LEAST, MOST = 5, 20, 128
@@ -83,8 +82,8 @@ def chunk_ends(buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 def window_chunks(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chunks of all windows of ``width`` words: text, digest, first and last window that has this chunk.
 
-    A chunk has at most two fifths of the window's words and two fifths of those at least. A window with
-    too few bytes for that is a chunk itself.
+    A chunk has at most two fifths of the window's words and 70 % of those at least. A window with too few
+    bytes for that is a chunk itself.
     """
     buf, offsets = utf8(texts)
     starts, ends, before = words_of(buf, offsets)
@@ -95,7 +94,7 @@ def window_chunks(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.nda
     k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     word = before[doc] + k
     most = max(1, width * 2 // 5)
-    least = max(1, most * 2 // 5)
+    least = max(1, most * 7 // 10)
     gear = gear_hashes(buf, offsets)[ends - 1]
     low, high = np.searchsorted(ends, starts[word] + WINDOW), word + (width - 1 - most)
     cut = word - 1  # the last word before the chunk
@@ -109,19 +108,14 @@ def window_chunks(texts: pa.StringArray, width: int) -> tuple[np.ndarray, np.nda
 
 
 def chunk_runs(docs: DataFrame, width: int, tag: str = "chunks") -> DataFrame:
-    """Runs of windows (doc, mark, first, last) whose chunk stands in another text too."""
+    """Runs of windows whose chunk another run has too, as :func:`.passages.shared_runs` gives them."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
-                doc, digest, first, last = window_chunks(texts, width)
-                own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(digest.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "mark", "digest", "first", "last"])
-
-    chunks = rows_of(docs).mapInArrow(chunked, "doc long, mark long, digest long, first int, last int")  # taken twice from the texts, which costs less than keeping them
-    ends = [F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("mark").alias("c"), F.max("mark").alias("d")]
-    shared = written(chunks.groupBy("digest").agg(*ends).where("a != b OR c != d").select("digest"), f"{tag}-shared")
-    return chunks.join(shared, "digest").select("doc", "mark", "first", "last")
+                yield pa.RecordBatch.from_arrays(run_table(*window_chunks(texts, width), part, texts, width), RUN)
+
+    return shared_runs(rows_of(docs).mapInArrow(chunked, RUN_SCHEMA), [], tag)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

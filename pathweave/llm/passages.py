@@ -119,18 +119,154 @@ def runs_of(chosen: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.append(first[1:], len(chosen))[: len(first)] - 1
 
 
+def run_table(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, part: pa.RecordBatch, texts: pa.StringArray, width: int) -> list[pa.Array]:
+    """Columns doc, mark, key, first, last, span of runs of windows; ``span`` is a digest of all bytes of a run."""
+    buf, offsets = utf8(texts)
+    starts, ends, before = words_of(buf, offsets)
+    span = span_hashes(buf, starts[before[doc] + first], ends[before[doc] + last + (width - 1)]) if len(doc) else np.zeros(0, np.uint64)
+    own = pa.array(doc)
+    return [part.column(0).take(own), part.column(1).take(own), pa.array(key.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(span.view(np.int64))]
+
+
+RUN = ["doc", "mark", "key", "first", "last", "span"]
+RUN_SCHEMA = "doc long, mark long, key long, first int, last int, span long"
+
+
+class _Groups:
+    """Rows in order, in groups of equal values of some columns: each row's first (doc, mark) of its group."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+        self.last: tuple | None = None
+        self.head = (0, 0)
+
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each row begins a group, and the doc and mark that its group begins with."""
+        column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy()
+        values = [column(k) for k in self.keys]
+        begins = np.ones(batch.num_rows, bool)
+        begins[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        begins[0] = self.last != tuple(v[0] for v in values)
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+        heads = [np.where(at >= 0, column(name)[at], own) for name, own in zip(ROW, self.head, strict=True)]
+        self.last, self.head = tuple(v[-1] for v in values), (heads[0][-1], heads[1][-1])
+        return begins, heads[0], heads[1]
+
+
+def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs in the order of key, span and row those whose key a run next to them has (``sure``), and the
+    first and last of all (``edge``), whose neighbours may be in other partitions.
+
+    ``other`` and ``other_mark`` are the first text with equal bytes in the run; null for that one.
+    """
+    names = ["doc", "mark", "key", "first", "last", "other", "other_mark", "sure", "edge"]
+    groups = _Groups(["key", "span"])
+    held: pa.RecordBatch | None = None
+    same_held, key_held, first_held = False, 0, False
+
+    def out(rows: pa.RecordBatch, sure: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(sure), pa.array(edge)], names)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        begins, doc, mark = groups.of(batch)
+        rows = [batch.column(batch.schema.get_field_index(c)) for c in names[:5]]
+        batch = pa.RecordBatch.from_arrays([*rows, pa.array(doc, mask=begins), pa.array(mark, mask=begins)], names[:7])
+        key = rows[2].to_numpy()
+        same = np.append(held is not None and key_held == key[0], key[1:] == key[:-1])
+        if held is not None and (same_held or same[0] or first_held):
+            yield out(held, np.array([same_held or bool(same[0])]), np.array([first_held]))
+        sure, edge = same[:-1] | same[1:], np.zeros(n - 1, bool)
+        if held is None and n > 1:
+            edge[0] = True
+        at = np.flatnonzero(sure | edge)
+        if len(at):
+            yield out(batch.take(pa.array(at)), sure[at], edge[at])
+        # The last row waits for its next one.
+        held, same_held, key_held, first_held = batch.slice(n - 1), bool(same[-1]), key[-1], held is None and n == 1
+    if held is not None:
+        yield out(held, np.array([same_held]), np.array([True]))
+
+
+def shared_runs(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """Runs of windows (doc, mark, first, last, other, other_mark) whose key another run has, too.
+
+    The runs (``RUN``, and columns that ``order`` begins with) are sorted over ranges and compared with their
+    neighbours. Of runs with equal bytes ``other`` is null for the first of a range, and that first for the rest.
+    """
+    order = [*order, "key", "span", *ROW, "first"]
+    sorted_ = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    schema = "doc long, mark long, key long, first int, last int, other long, other_mark long, sure boolean, edge boolean"
+    near = written(sorted_.mapInArrow(_with_neighbours, schema), f"{tag}-runs")
+    # A key of one run in each of two ranges: the two rows at the edges of each range are looked at.
+    edges = near.where("edge AND NOT sure")
+    across = near.where("edge").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return near.where("sure").unionByName(edges.join(F.broadcast(across), "key", "left_semi").select(*near.columns)).drop("key", "sure", "edge")
+
+
+def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows in the order of digest and row: pairs of each text with the first that has the window.
+
+    A range's first window, and the first text of its last one, come as rows of their own (``edge``).
+    """
+    names = ["doc", "mark", "other", "other_mark", "digest", "edge"]
+    groups = _Groups(["digest"])
+    seen = False
+    doc = mark = np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, doc, mark = groups.of(batch)
+        own = np.stack([*(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ROW), doc, mark], 1)
+        pairs = np.unique(own[(own[:, 0] != own[:, 2]) | (own[:, 1] != own[:, 3])], axis=0)
+        if not seen:
+            seen, begin = True, batch.column(batch.schema.get_field_index("digest"))[0].as_py()
+            pairs = np.append(pairs, own[:1], 0)
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(4)), pa.array(np.full(len(pairs), begin)), pa.array(np.arange(len(pairs)) == len(pairs) - 1)], names)
+        elif len(pairs):
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(4)), pa.array(np.zeros(len(pairs), np.int64)), pa.array(np.zeros(len(pairs), bool))], names)
+    if seen:
+        row = [*groups.head, *groups.head, groups.last[0], True]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row[:5]] + [pa.array([True])], names)
+
+
+def window_pairs(windows: DataFrame, tag: str) -> DataFrame:
+    """Pairs (doc, mark, other, other_mark) that put every text of a window (doc, mark, digest) with an earlier
+    one that has it, but for the first."""
+    order = ["digest", *ROW]
+    sorted_ = windows.repartitionByRange(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    pairs = written(sorted_.mapInArrow(_to_first, "doc long, mark long, other long, other_mark long, digest long, edge boolean"), f"{tag}-met")
+    # A window in several ranges: two rows of each range tell the first text of all.
+    edges = pairs.where("edge").select("digest", *ROW)
+    least = edges.groupBy("digest").agg(F.min(F.struct(*ROW)).alias("least")).select("digest", F.col("least.doc").alias("other"), F.col("least.mark").alias("other_mark"))
+    over = edges.join(F.broadcast(least), "digest").select(*ROW, "other", "other_mark")
+    names = [*ROW, "other", "other_mark"]
+    return pairs.where("NOT edge").select(*names).unionByName(over).where("doc != other OR mark != other_mark")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """``doc``, ``mark`` and ``text`` of the rows in ``ids``, written; rows that come more than once come once."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = written(rows_of(docs).join(wanted, ROW, "left_semi"), f"{tag}-texts")
+    if texts.groupBy(*ROW).count().where("count > 1").isEmpty():
+        return texts
+    return written(texts.groupBy(*ROW).agg(F.min("text").alias("text")), f"{tag}-texts-once")
+
+
 def matches(docs: DataFrame, runs: DataFrame, width: int, tag: str) -> DataFrame:
-    """All passages of ``width`` words or more that a text has in common with the least text that has one of
-    their windows; looked at are the windows in ``runs`` (doc, mark, first, last).
+    """All passages of ``width`` words or more that a text has in common with an earlier text that has one of
+    their windows; looked at are the windows in ``runs`` (see :func:`shared_runs`).
 
-    Returns doc, mark, start, end (bytes), n_words, other, other_mark, other_start for ``doc``'s side of
-    each match. Of a passage that stands several times in a text, each place is in a match, but not all
-    with each other.
+    Runs with equal bytes have equal windows: their first text stands for all others, each of which meets it,
+    and only its windows are digested. Returns doc, mark, start, end (bytes), n_words, other, other_mark,
+    other_start for ``doc``'s side of each match. Of a passage that stands several times in a text, each
+    place is in a match, but not all with each other.
     """
-    lists = written(runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("runs")), f"{tag}-runs")  # of one text
-    wanted = lists.select(*ROW)
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = written(rows_of(docs).join(wanted, ROW, "left_semi").groupBy(*ROW).agg(F.min("text").alias("text")), f"{tag}-texts")
+    alike = runs.where("other IS NOT NULL AND (doc != other OR mark != other_mark)").select(*ROW, "other", "other_mark")
+    texts = texts_of(docs, written(runs.select(*ROW).distinct(), f"{tag}-ids"), tag)
+    lists = runs.where("other IS NULL").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,11 +283,8 @@ def matches(docs: DataFrame, runs: DataFrame, width: int, tag: str) -> DataFrame
                 own = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(span_hashes(buf, start[at], end[at]).view(np.int64))], [*ROW, "digest"])
 
-    windows = lists.join(texts, ROW).select(*ROW, "runs", "text").mapInArrow(digests, "doc long, mark long, digest long")  # taken twice from the texts, which costs less than keeping them
-    ends = windows.groupBy("digest").agg(F.min(F.struct(*ROW)).alias("low"), F.max(F.struct(*ROW)).alias("high")).where("low != high")
-    repeated = written(ends.select("digest", F.col("low.doc").alias("other"), F.col("low.mark").alias("other_mark")), f"{tag}-windows")
-    found = windows.join(repeated, "digest").where("doc != other OR mark != other_mark").select(*ROW, "other", "other_mark").distinct()
-    return _compared(written(found, f"{tag}-pairs"), texts, width, tag)
+    windows = lists.join(texts, ROW).select(*ROW, "runs", "text").mapInArrow(digests, "doc long, mark long, digest long")
+    return _compared(written(window_pairs(windows, tag).unionByName(alike).distinct(), f"{tag}-pairs"), texts, width, tag)
 
 
 def _starts(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

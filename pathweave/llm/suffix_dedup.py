@@ -16,10 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import span_hashes, text_chunks, written
-from .passages import MIN_WORDS, cut_out, least_in, matches, occurrences, rows_of, runs_of, window_spans
+from .common import span_hashes, text_chunks
+from .passages import MIN_WORDS, RUN, RUN_SCHEMA, cut_out, least_in, matches, occurrences, rows_of, run_table, runs_of, shared_runs, window_spans
 
 #: Word positions of which the one with the least gram is kept.
 SPAN = 32
@@ -61,52 +60,17 @@ def suffixes(texts: pa.StringArray, width: int) -> tuple[np.ndarray, ...]:
     return doc[at], *(h.view(np.int64) for h in heads), grams[at].view(np.int64), k[begin[first]].astype(np.int32), k[begin[last]].astype(np.int32)
 
 
-def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of suffixes in order those that begin with the same gram as one next to them (``sure``), and the first
-    and last of all (``edge``), whose neighbours may be in other partitions."""
-    names = ["doc", "mark", "gram", "first", "last", "sure", "edge"]
-    held, same_held, gram_held, first_held = None, False, 0, False
-
-    def out(rows: pa.RecordBatch, sure: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names[:5]), pa.array(sure), pa.array(edge)], names)
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        gram = batch.column(batch.schema.get_field_index("gram")).to_numpy()
-        same = np.append(held is not None and gram_held == gram[0], gram[1:] == gram[:-1])
-        if held is not None and (same_held or same[0] or first_held):
-            yield out(held, np.array([same_held or bool(same[0])]), np.array([first_held]))
-        sure, edge = same[:-1] | same[1:], np.zeros(n - 1, bool)
-        if held is None and n > 1:
-            edge[0] = True
-        at = np.flatnonzero(sure | edge)
-        if len(at):
-            yield out(batch.take(pa.array(at)), sure[at], edge[at])
-        # The last row waits for its next one.
-        held, same_held, gram_held, first_held = batch.slice(n - 1), bool(same[-1]), gram[-1], held is None and n == 1
-    if held is not None:
-        yield out(held, np.array([same_held]), np.array([True]))
-
-
 def suffix_runs(docs: DataFrame, width: int, tag: str = "suffixes") -> DataFrame:
-    """Runs of windows (doc, mark, first, last) kept for suffixes that a neighbour in the array begins like."""
+    """Runs of windows kept for suffixes that a neighbour in the array begins like, as
+    :func:`.passages.shared_runs` gives them."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 doc, head, more, gram, first, last = suffixes(texts, width)
-                own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(more), pa.array(gram), part.column(0).take(own), part.column(1).take(own), pa.array(first), pa.array(last)], ["head", "more", "gram", "doc", "mark", "first", "last"])
-
-    order = ["head", "more", "gram", "doc", "mark", "first"]
-    rows = rows_of(docs).mapInArrow(kept, "head long, more long, gram long, doc long, mark long, first int, last int")
-    array = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    near = written(array.mapInArrow(_with_neighbours, "doc long, mark long, gram long, first int, last int, sure boolean, edge boolean"), f"{tag}-array")
-    # A run of one row in each of two partitions: two rows a partition are looked at.
-    across = near.where("edge").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.lit(True).alias("met"))
-    return near.join(F.broadcast(across), "gram", "left").where("sure OR met").select("doc", "mark", "first", "last")
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(more), *run_table(doc, gram, first, last, part, texts, width)], ["head", "more", *RUN])
+
+    return shared_runs(rows_of(docs).mapInArrow(kept, f"head long, more long, {RUN_SCHEMA}"), ["head", "more"], tag)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -423,19 +423,50 @@ def test_suffixes_sort_by_their_texts():
     assert set(doc.tolist()) == {0, 1} and set(gram[doc == 0].tolist()) & set(gram[doc == 1].tolist())
 
 
-def test_edges_of_ranges_are_compared():
-    """Every split of sorted suffixes into two partitions finds the same runs, rows at the edges included."""
-    gram = np.array([5, 1, 1, 7, 7, 7, 9, 2, 3, 3])
-    names = ["head", "more", "gram", "doc", "mark", "first", "last"]
-    rows = pa.RecordBatch.from_arrays([*(pa.array(np.zeros(10, np.int64)) for _ in range(2)), pa.array(gram), pa.array(np.arange(10)), pa.array(np.zeros(10, np.int64)), *(pa.array(np.zeros(10, np.int32)) for _ in range(2))], names)
-    for cut in range(11):
-        for size in (1, 2, 3, 10):
-            sure, edges = set(), []
-            for a, b in ((0, cut), (cut, 10)):
-                parts = [rows.slice(i, min(size, b - i)) for i in range(a, b, size)]
-                for out in suffix_dedup._with_neighbours(iter(parts)):
+def in_batches(rows, cuts, size):
+    """Partitions of a table at these cuts, each in batches of ``size`` rows."""
+    for a, b in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+        yield iter([rows.slice(i, min(size, b - i)) for i in range(a, b, size)])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10])
+def test_edges_of_ranges_are_compared(size):
+    """Every split of sorted runs into three partitions finds the same runs, rows at the edges included."""
+    key, span = [1, 1, 3, 5, 7, 7, 7, 8, 9, 9], [4, 4, 1, 1, 2, 2, 3, 1, 6, 6]
+    zeros = pa.array(np.zeros(10, np.int64))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(10)), zeros, pa.array(key), zeros, zeros, pa.array(span)], passages.RUN)
+    for a in range(11):
+        for b in range(a, 11):
+            sure, edges, meets = set(), [], {}
+            for part in in_batches(rows, [a, b], size):
+                for out in passages._with_neighbours(part):
                     for r in out.to_pylist():
                         sure |= {r["doc"]} if r["sure"] else set()
-                        edges += [(r["gram"], r["doc"])] if r["edge"] else []
-            met = {g for g, _ in edges if sum(x == g for x, _ in edges) > 1}
-            assert sure | {d for g, d in edges if g in met} == {1, 2, 3, 4, 5, 8, 9}, (cut, size)
+                        edges += [(r["key"], r["doc"])] if r["edge"] else []
+                        meets[r["doc"]] = r["other"]
+            met = {k for k, _ in edges if sum(x == k for x, _ in edges) > 1}
+            assert sure | {d for k, d in edges if k in met} == {0, 1, 4, 5, 6, 8, 9}, (a, b)
+            # The first of equal runs in a partition stands for itself.
+            assert {d: o for d, o in meets.items() if o is not None} == {d: d - 1 for d in (1, 5, 9) if d not in (a, b)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_windows_in_several_ranges_meet_the_first(size):
+    digest, doc = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5], [0, 5, 1, 2, 2, 3, 4, 9, 7, 8]
+    rows = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.zeros(10, np.int64)), pa.array(digest)], ["doc", "mark", "digest"])
+    for a in range(11):
+        for b in range(a, 11):
+            pairs, edges = set(), collections.defaultdict(set)
+            for part in in_batches(rows, [a, b], size):
+                for out in passages._to_first(part):
+                    for r in out.to_pylist():
+                        if r["edge"]:
+                            edges[r["digest"]].add(r["doc"])
+                        else:
+                            pairs.add((r["doc"], r["other"]))
+            pairs |= {(d, min(docs)) for docs in edges.values() for d in docs if d != min(docs)}
+            assert all(x > y for x, y in pairs)
+            roots = {d: d for d in doc}
+            for x, y in sorted(pairs):
+                roots[x] = roots[y]
+            assert roots == {0: 0, 5: 0, 1: 1, 2: 2, 3: 2, 4: 2, 9: 9, 7: 7, 8: 7}, (a, b)
