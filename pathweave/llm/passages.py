@@ -28,6 +28,8 @@ MIN_WORDS = 51
 BROADCAST_IDS = 200_000
 #: Texts that one task compares with one other text, about.
 GROUP = 20_000
+#: How texts are joined, at every size, so that small inputs tell of large ones.
+JOIN = "merge"
 _SPACES = frozenset(b" \t\n\r\x0b\x0c")
 ROW = ["doc", "mark"]
 
@@ -259,8 +261,9 @@ def matches(docs: DataFrame, runs: DataFrame, width: int, tag: str) -> DataFrame
     """All passages of ``width`` words or more that a text has in common with an earlier text that has one of
     their windows; looked at are the windows in ``runs`` (see :func:`shared_runs`).
 
-    Runs with equal bytes have equal windows: their first text stands for all others, each of which meets it,
-    and only its windows are digested. Returns doc, mark, start, end (bytes), n_words, other, other_mark,
+    Runs with equal bytes have equal windows: their first text (in a range) stands for all others, each of which
+    meets it, and only its windows are digested. Which earlier text a passage is found in may thus depend on where
+    ranges are cut; which words are in passages, and which of them come later than in another text, doesn't. Returns doc, mark, start, end (bytes), n_words, other, other_mark,
     other_start for ``doc``'s side of each match. Of a passage that stands several times in a text, each
     place is in a match, but not all with each other.
     """
@@ -283,7 +286,7 @@ def matches(docs: DataFrame, runs: DataFrame, width: int, tag: str) -> DataFrame
                 own = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(span_hashes(buf, start[at], end[at]).view(np.int64))], [*ROW, "digest"])
 
-    windows = lists.join(texts, ROW).select(*ROW, "runs", "text").mapInArrow(digests, "doc long, mark long, digest long")
+    windows = lists.join(texts.hint(JOIN), ROW).select(*ROW, "runs", "text").mapInArrow(digests, "doc long, mark long, digest long")
     return _compared(written(window_pairs(windows, tag).unionByName(alike).distinct(), f"{tag}-pairs"), texts, width, tag)
 
 
@@ -339,9 +342,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, min_words: int, tag: str) -> D
     salts = -(-pairs.count() // GROUP)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64(*ROW), F.lit(max(1, salts))))
     key = ["other", "other_mark", "salt"]
+    # Only texts in pairs move: of all that share a part of a window about half have a whole one in common.
+    ids = written(pairs.select(*ROW).distinct(), f"{tag}-met-ids")
+    met = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ROW, "left_semi")
     whole = texts.select(F.col("doc").alias("other"), F.col("mark").alias("other_mark"), "text")
-    heads = salted.select(*key).distinct().join(whole, ["other", "other_mark"]).select(*key, F.lit(0).alias("turn"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("mark"), "text")
-    tails = salted.join(texts, ROW).select(*key, F.lit(1).alias("turn"), *ROW, "text")
+    heads = salted.select(*key).distinct().join(whole.hint(JOIN), ["other", "other_mark"]).select(*key, F.lit(0).alias("turn"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("mark"), "text")
+    tails = salted.join(met.hint(JOIN), ROW).select(*key, F.lit(1).alias("turn"), *ROW, "text")
     dealt = heads.unionByName(tails).repartition(*key).sortWithinPartitions(*key, "turn")
     names = ["doc", "mark", "start", "end", "n_words", "other", "other_mark", "other_start"]
 

@@ -5,7 +5,8 @@ Of all suffixes of all texts (at word starts) only those at minimisers are kept:
 a common window keep suffixes at the same place of it. The kept suffixes are sorted, by their first 16
 bytes and then by the digest of their first gram, and each is compared with its neighbours: suffixes that
 begin with the same gram are next to each other. A suffix without such a neighbour is dropped; the array's
-ranges meet at their edges, so the result doesn't depend on how many there are. The windows of the
+ranges meet at their edges, so the words in spans don't depend on how many there are (which earlier text a span
+names may). The windows of the
 others are matched on the texts, extended to the left and right (see :mod:`.passages`).
 """
 
