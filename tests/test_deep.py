@@ -174,3 +174,35 @@ def test_shapes():
         for path in shapes.readings(signs):
             assert "".join(c for c in path if c in "*+?/|^") == signs
         assert len(set(shapes.readings(signs))) == len(shapes.readings(signs))
+
+
+def test_reflexive_closures_are_not_dealt_out_again(spark):
+    """clos_star: pairs go from the search to the result without an exchange."""
+    step = spark.range(50).selectExpr("id AS row", "(id * 3 + 1) % 50 AS col").union(spark.createDataFrame([(77, 3)], "row long, col long"))
+    nodes = spark.range(60).toDF("id")
+    for strategy in ("auto", "condense", "squaring", "joins"):
+        star = BoolMatrix(step).closure(True, nodes, strategy=strategy).pairs
+        got = [tuple(r) for r in star.collect()]
+        assert len(got) == len(set(got)) and set(got) == closed_by_search({tuple(r) for r in step.collect()}) | {(i, i) for i in range(60)}
+    plan = BoolMatrix(step).closure(True, nodes).pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_are_the_pairs_of_the_bits(monkeypatch, seed):
+    module = sys.modules["pathweave.operators.propagate"]
+    monkeypatch.setattr(module, "SLICE", 512)
+    monkeypatch.setattr(module, "TILE", 300)
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 900)), int(rng.integers(1, 190))
+    kinds = rng.random((3, n)) < rng.random((3, 1))
+    bits = kinds[rng.integers(0, 3, k)] if seed % 2 else rng.random((k, n)) < 0.1
+    packed = np.packbits(np.pad(bits, ((0, -k % 64), (0, 0))).T, axis=1, bitorder="little")
+    ids, sources = np.arange(n) * 5, np.arange(k) + 1000
+    got = []
+    for batch in module.blocks_of(sources, ids, np.ascontiguousarray(packed).view(np.uint64)):
+        for rows, cols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            assert len(rows) * len(cols) <= 300 or len(cols) == 1
+            got += [(r, c) for r in rows for c in cols]
+    k_at, n_at = np.nonzero(bits)
+    assert sorted(got) == sorted(zip(sources[k_at].tolist(), ids[n_at].tolist(), strict=True))
