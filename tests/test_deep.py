@@ -220,7 +220,7 @@ HEAVY = {
     "rpq_shape_vc_then_star_or_then_star": ("a/(b*|a)/b*", (None, 7)), "rpq_shape_vv_plus_then_star": ("a+/b*", (None, None)),
     "rpq_shape_cv_then_star_or_star": ("a/(b*|a*)", (2, None)), "rpq_shape_vc_then_star_then_star": ("(a/b*/a)*", (None, 7)),
     "rpq_shape_cv_then_star_or_star_or_then_star_or_star": ("(a/b*|a*|b/a*|b)*", (2, None)),
-    "both ends": ("(a+/b)*", (2, 5)), "beside the universe": ("(a/b*)*", (None, None)),
+    "rpq_shape_vc_star_then_star_then_star_then_star_then_star": ("(a*/b*/a*/b*/a)*", (None, 7)), "both ends": ("(a+/b)*", (2, 5)), "beside the universe": ("(a/b*)*", (None, None)),
 }
 
 
