@@ -287,3 +287,17 @@ def test_blocks_are_the_pairs_of_the_bits(monkeypatch, seed):
             got += [(r, c) for r in rows for c in cols]
     k_at, n_at = np.nonzero(bits)
     assert sorted(got) == sorted(zip(sources[k_at].tolist(), ids[n_at].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("name", ["clos_squaring_ev"])
+def test_components_are_not_squared(spark, monkeypatch, name):
+    """What is squared is the relation of components, here a chain of four with a ring of 300 at its end."""
+    module = sys.modules["pathweave.operators.propagate"]
+    edges = {(i, (i + 1) % 300) for i in range(300)} | {(400, 401), (401, 402), (402, 5), (500, 500)}
+    seen = []
+    whole = module.squared
+    monkeypatch.setattr(module, "squared", lambda step, deadline=None: seen.append(step.count()) or whole(step, deadline))
+    reflexive = name == "clos_squaring_ev"
+    got = [tuple(r) for r in BoolMatrix.from_cells(spark, edges).closure(reflexive, spark.range(600).toDF("id"), strategy="squaring").pairs.collect()]
+    want = closed_by_search(edges) | ({(i, i) for i in range(600)} if reflexive else set())
+    assert seen == [3] and len(got) == len(set(got)) and set(got) == want
