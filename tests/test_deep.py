@@ -289,7 +289,7 @@ def test_blocks_are_the_pairs_of_the_bits(monkeypatch, seed):
     assert sorted(got) == sorted(zip(sources[k_at].tolist(), ids[n_at].tolist(), strict=True))
 
 
-@pytest.mark.parametrize("name", ["clos_squaring_ev"])
+@pytest.mark.parametrize("name", ["clos_squaring_ev", "clos_squaring_sparse"])
 def test_components_are_not_squared(spark, monkeypatch, name):
     """What is squared is the relation of components, here a chain of four with a ring of 300 at its end."""
     module = sys.modules["pathweave.operators.propagate"]
