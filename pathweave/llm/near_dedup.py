@@ -36,6 +36,8 @@ TREES, LABELS = 16, 8
 VALUES = TREES * LABELS
 #: Nodes of a tile; a region of no more is one.
 REGION = 4096
+#: Shingles of a tile for each of its nodes, on average: regions of longer texts have more tiles, of fewer nodes.
+PER_NODE = 512
 #: Neighbours of a node, besides its likeliest, that are confirmed in the first step.
 RANDOM_LINKS = 4
 #: Ids up to which a set of ids is broadcast (8 bytes each) rather than joined by a shuffle.
@@ -135,7 +137,8 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [(labels[:, :, i] << np.uint64(32) | labels[:, :, i + 1]).ravel().view(np.int64) for i in (2, 4, 6)]
         node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
         tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), *map(pa.array, rest), pa.array(node), pa.array(tree)], ["region", "r1", "r2", "r3", "node", "tree"])
+        size = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), TREES)
+        yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), *map(pa.array, rest), pa.array(node), pa.array(tree), pa.array(size)], ["region", "r1", "r2", "r3", "node", "tree", "size"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(keep)
         p1 = pa.array(node[np.maximum(at - 1, 0)], mask=~same1[at])
         p2 = pa.array(node[np.maximum(at - 2, 0)], mask=~same2[at])
-        return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[at]) for c in ("region", "r1", "r2", "r3", "node", "tree")), p1, p2], ["region", "r1", "r2", "r3", "node", "tree", "p1", "p2"])
+        return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[at]) for c in ("region", "r1", "r2", "r3", "node", "tree", "size")), p1, p2], ["region", "r1", "r2", "r3", "node", "tree", "size", "p1", "p2"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -245,21 +248,24 @@ def _shared_counts(sets: list[np.ndarray]):
 def tiles(rows: DataFrame) -> DataFrame:
     """The rows (region, node, part, ...) of regions with several parts, with a ``block`` for each tile they are in.
 
-    Two nodes of different parts of a region meet in a tile at least. A region of up to ``REGION`` rows is
-    one tile. In others the nodes of the commonest part, which need not meet each other, and all others
-    are dealt into blocks of half a tile each; a block of the others meets every block.
+    Two nodes of different parts of a region meet in a tile at least. A region of up to ``REGION`` rows, and
+    ``PER_NODE`` times as many shingles (column size, where there is one), is one tile. In others the nodes of the
+    commonest part, which need not meet each other, and all others are dealt into blocks of half a tile each; a
+    block of the others meets every block.
     """
-    sizes = rows.groupBy("region", "part").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "part")).alias("most")).where("most.n < rows")
-    sizes = sizes.select("region", "rows", F.col("most.part").alias("major"), F.col("most.n").alias("n_major"))
+    size = F.col("size") if "size" in rows.columns else F.lit(0)
+    sizes = rows.groupBy("region", "part").agg(F.count("*").alias("n"), F.sum(size).alias("w")).groupBy("region").agg(F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.max(F.struct("n", "part", "w")).alias("most")).where("most.n < rows")
+    own_share = lambda n, w: F.greatest(n, F.ceil(w / F.lit(PER_NODE)))
+    sizes = sizes.select("region", F.col("most.part").alias("major"), own_share(F.col("rows"), F.col("weight")).alias("rows"), own_share(F.col("most.n"), F.col("most.w")).alias("n_major"), own_share(F.col("rows") - F.col("most.n"), F.col("weight") - F.col("most.w")).alias("n_few"))
     met = rows.join(written(sizes, "mixed"), "region")
     blocks = lambda n: F.ceil(n / F.lit(max(1, REGION // 2))).cast("long")
-    met = met.withColumn("few", blocks(F.col("rows") - F.col("n_major"))).withColumn("many", blocks(F.col("n_major")))
+    met = met.withColumn("few", blocks(F.col("n_few"))).withColumn("many", blocks(F.col("n_major")))
     mine = F.col("part") == F.col("major")
     own = F.pmod(F.xxhash64("node"), F.when(mine, F.col("many")).otherwise(F.col("few"))) + F.when(mine, F.col("few")).otherwise(F.lit(0))
     meets = F.sequence(F.lit(0).cast("long"), F.col("few") + F.when(mine, F.lit(0)).otherwise(F.col("many")) - 1)
     met = met.withColumn("own", own).withColumn("meets", F.explode(F.when(F.col("rows") <= REGION, F.array(F.lit(-1).cast("long"))).otherwise(meets)))
     met = met.where("meets != own").withColumn("block", F.when(F.col("meets") < 0, F.lit(0)).otherwise(F.shiftleft(F.least("own", "meets"), 31).bitwiseOR(F.greatest("own", "meets"))).cast("long"))
-    return met.drop("rows", "major", "n_major", "few", "many", "own", "meets")
+    return met.drop("rows", "major", "n_major", "n_few", "few", "many", "own", "meets")
 
 
 class NearDuplicates:
@@ -330,7 +336,7 @@ class NearDuplicates:
 
     def cross_links(self, members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
         """Links between components (a, b) that nodes in a common region make, confirmed on full sets."""
-        rows = members.select("region", "tree", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        rows = members.select("region", "tree", "node", "size").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         rows = tiles(rows).select("region", "block", "tree", "node", "part").join(signs, "node")
         least, percent, width = self.least, self.percent, self.width
         columns = ["region", "block", "tree", "node", "part", "n", "low", "regions"]
@@ -383,9 +389,9 @@ class NearDuplicates:
         groups = ids.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
         nodes = written(groups, "nodes")
         order = ["region", "r1", "r2", "r3", "node"]
-        rows = nodes.select("node", "sign").mapInArrow(_orders, "region long, r1 long, r2 long, r3 long, node long, tree int")
+        rows = nodes.select("node", "n", "sign").mapInArrow(_orders, "region long, r1 long, r2 long, r3 long, node long, tree int, size long")
         rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-        members = written(rows.mapInArrow(_neighbours, "region long, r1 long, r2 long, r3 long, node long, tree int, p1 long, p2 long"), "members")
+        members = written(rows.mapInArrow(_neighbours, "region long, r1 long, r2 long, r3 long, node long, tree int, size long, p1 long, p2 long"), "members")
         signs = nodes.select("node", "n", "sign").mapInArrow(_compact, "node long, n long, low binary, regions binary")
 
         near = members.select("node", F.explode(F.array("p1", "p2")).alias("p")).where("p IS NOT NULL AND p != node")

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from pathweave.llm import chunk_dedup, components, near_dedup, passages, suffix_dedup
+from pathweave.llm.common import tune
 from pathweave.llm.queries import op3_near_dedup, op5_chunk_dedup, op7_suffix_dedup
 
 from .conftest import PASSAGE, ROWS, docs_of
@@ -109,6 +110,33 @@ def test_nodes_of_different_parts_meet_in_a_tile(spark, monkeypatch, share):
     assert max(map(len, held.values())) <= 80
 
 
+@pytest.mark.parametrize("share", [0.0, 0.7])
+def test_tiles_of_long_texts_have_fewer_nodes(spark, share):
+    """300 nodes of 40,000 shingles: no tile holds more than some two million of them."""
+    rng = random.Random(2)
+    part = {i: 0 if rng.random() < share else i for i in range(1, 301)}
+    rows = spark.createDataFrame([(7, i, p, 40_000) for i, p in part.items()] + [(8, i, i, 400) for i in range(300)], "region long, node long, part long, size long")
+    held = collections.defaultdict(set)
+    for r in near_dedup.tiles(rows).collect():
+        held[r["region"], r["block"]].add(r["node"])
+    met = {(a, b) for (region, _), nodes in held.items() if region == 7 for a in nodes for b in nodes if a < b and part[a] != part[b]}
+    assert met == {(a, b) for a in part for b in part if a < b and part[a] != part[b]}
+    assert max(len(nodes) for (region, _), nodes in held.items() if region == 7) * 40_000 <= 2 * near_dedup.REGION * near_dedup.PER_NODE
+    assert [len(nodes) for (region, _), nodes in held.items() if region == 8] == [300]
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    tune(spark)
+    texts = spark.range(600).repartition(1).selectExpr("id", "repeat('x', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 600 and max(r["bytes"] for r in got) <= 10_000_000
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
