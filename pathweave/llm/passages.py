@@ -394,7 +394,15 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     lists = written(cuts.withColumnsRenamed({"doc_id": "__cut_id", "mark": "__cut_mark"}), "cuts")
     names = docs.columns
     own = (docs["doc_id"].cast("long") == lists["__cut_id"]) & (F.xxhash64(docs["text"]) == lists["__cut_mark"])
-    met = docs.join(lists, own, "left").select(*[docs[c] for c in names], "__cuts")
+    if lists.count() <= BROADCAST_IDS:
+        # Only rows that lose something move; of no row both parts have it, as the ids are the same.
+        ids = F.broadcast(lists.select("__cut_id", "__cut_mark"))
+        cut = docs.join(ids, own, "left_semi")
+        same = (cut["doc_id"].cast("long") == lists["__cut_id"]) & (F.xxhash64(cut["text"]) == lists["__cut_mark"])
+        met = cut.join(lists.hint(JOIN), same).select(*[cut[c] for c in names], "__cuts")
+        met = met.unionByName(docs.join(ids, own, "left_anti").select(*names, F.lit(None).cast(lists.schema["__cuts"].dataType).alias("__cuts")))
+    else:
+        met = docs.join(lists.hint(JOIN), own, "left").select(*[docs[c] for c in names], "__cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -498,3 +498,24 @@ def test_windows_in_several_ranges_meet_the_first(size):
             for x, y in sorted(pairs):
                 roots[x] = roots[y]
             assert roots == {0: 0, 5: 0, 1: 1, 2: 2, 3: 2, 4: 2, 9: 9, 7: 7, 8: 7}, (a, b)
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_cutting_moves_only_what_is_cut(spark, monkeypatch, most):
+    """The texts that lose nothing are not shuffled, however many spans there are for a broadcast by size."""
+    monkeypatch.setattr(passages, "BROADCAST_IDS", most)
+    rows = [(i, f"text {i} of many", 0) for i in range(40)] + [(None, "no id", 0), (3, "another of three", 0), (50, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    marks = docs.where("doc_id IN (3, 7, 9)").selectExpr("doc_id", "xxhash64(text) AS mark", "5L AS start", "7L AS end").where("mark != xxhash64('another of three')")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = passages.cut_out(docs, marks)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = [(i, t if t is None or i not in (3, 7, 9) or t.startswith("another") else f"text {t[7:]}") for i, t, _ in rows]
+    assert got == sorted([(i, t, None if t is None else len(t)) for i, t in texts], key=repr)
+    if most > 2:
+        assert "left_anti" in plan.lower().replace("leftanti", "left_anti") and "BroadcastHashJoin" in plan
