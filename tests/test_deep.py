@@ -301,3 +301,24 @@ def test_components_are_not_squared(spark, monkeypatch, name):
     got = [tuple(r) for r in BoolMatrix.from_cells(spark, edges).closure(reflexive, spark.range(600).toDF("id"), strategy="squaring").pairs.collect()]
     want = closed_by_search(edges) | ({(i, i) for i in range(600)} if reflexive else set())
     assert seen == [3] and len(got) == len(set(got)) and set(got) == want
+
+
+BOUND = ["both ends", "rpq_shape_vc_plus_then_plus"]
+
+
+@pytest.mark.parametrize("name", BOUND)
+def test_one_source_is_searched_without_components(spark, monkeypatch, name):
+    """From a bound end paths of any length are walked in the task; nothing is condensed at the driver."""
+    module = sys.modules["pathweave.operators.propagate"]
+
+    def never(*args, **kwargs):
+        raise AssertionError("components of the whole graph")
+
+    monkeypatch.setattr(module, "Condensed", never)
+    monkeypatch.setattr(module, "DEEP", 3)
+    n = 60
+    graph, edges = two_rings(spark, n, 5)
+    path, (row, col) = HEAVY[name]
+    for way in (path, "a+", "b/a*", "a/b*/a?"):
+        want = {(a, b) for a, b in searched(edges, n, way) if row in (None, a) and col in (None, b)}
+        assert {tuple(r) for r in Solver(graph).solve(row, way, col).pairs.collect()} == want
