@@ -13,7 +13,9 @@ from pathweave.operators.propagate import Adjacency, closed, propagate, shallow_
 from pathweave.operators.relation import BoolMatrix
 from pathweave.plans import Solver
 from pathweave.plans.ast import Alt, Concat, Label, Opt, Plus, Star
+from pathweave.plans.nfa import automaton, merged, shared
 from pathweave.plans.parser import parse_path
+from pathweave.plans.rewrite import simplify
 from pathweave.sources.graph import GraphStore, read_pairs, write_pairs
 from pathweave.sources.tables import events_graph
 
@@ -303,7 +305,26 @@ def test_components_are_not_squared(spark, monkeypatch, name):
     assert seen == [3] and len(got) == len(set(got)) and set(got) == want
 
 
-BOUND = ["both ends", "rpq_shape_vc_plus_then_plus"]
+BOUND = ["both ends", "rpq_shape_vc_plus_then_plus", "rpq_shape_cv_then_star_or_star_or_then_star_or_star"]
+
+
+@pytest.mark.parametrize("name", BOUND)
+def test_a_label_goes_once_into_the_product_however_often_it_may_come_next(spark, monkeypatch, name):
+    """What is sent is bounded by the labels' edges and nodes, not by the moves of the automaton."""
+    module = sys.modules["pathweave.operators.propagate"]
+    n = 60
+    graph, edges = two_rings(spark, n, 5)
+    path, (row, col) = HEAVY[name]
+    leaves = sum(path.count(x) for x in "ab")
+    monkeypatch.setattr(module, "BROADCAST_EDGES", max(len(edges), (leaves * len(edges) // 2 + 2 * n) // 2 + 1))
+
+    def never(*args, **kwargs):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(module, "semi_naive", never)
+    want = {(a, b) for a, b in searched(edges, n, path) if row in (None, a) and col in (None, b)}
+    got = [tuple(r) for r in Solver(graph).solve(row, path, col).pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 @pytest.mark.parametrize("name", BOUND)
@@ -322,3 +343,32 @@ def test_one_source_is_searched_without_components(spark, monkeypatch, name):
     for way in (path, "a+", "b/a*", "a/b*/a?"):
         want = {(a, b) for a, b in searched(edges, n, way) if row in (None, a) and col in (None, b)}
         assert {tuple(r) for r in Solver(graph).solve(row, way, col).pairs.collect()} == want
+
+
+def words_of(machine, longest, moves=None, jumps=()):
+    """All words up to a length that an automaton accepts."""
+    moves, words, now = moves or machine.moves, set(), {((), 0)}
+
+    def jumped(at):
+        while more := {(w, b) for w, q in at for a, b in jumps if a == q} - at:
+            at = at | more
+        return at
+
+    for _ in range(longest + 1):
+        now = jumped(now)
+        words |= {w for w, q in now if q in machine.accepting}
+        now = {((*w, x), b) for w, q in now for a, x, b in moves if a == q}
+    return words
+
+
+@pytest.mark.parametrize("start", [True, False])
+@pytest.mark.parametrize("sign", sorted({signs for _, signs, _ in shapes.shapes() if "*" in signs or "+" in signs}))
+def test_merged_states_and_jumps_keep_the_language(sign, start):
+    for path in shapes.readings(sign):
+        whole = automaton(simplify(parse_path(path)))
+        less = merged(whole, start)
+        moves, jumps = shared(less, {x: 10 for _, x, _ in whole.moves}, 5, start)
+        longest = 4 if len(whole.moves) < 60 else 2
+        assert less.states <= whole.states and len(moves) <= len(less.moves)
+        assert start or not [1 for _, _, b in less.moves if b == 0] + [1 for j in jumps if 0 in j]
+        assert words_of(whole, longest) == words_of(less, longest) == words_of(less, longest, moves, jumps)
