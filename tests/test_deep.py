@@ -337,6 +337,7 @@ def test_one_source_is_searched_without_components(spark, monkeypatch, name):
 
     monkeypatch.setattr(module, "Condensed", never)
     monkeypatch.setattr(module, "DEEP", 3)
+    monkeypatch.setattr(Adjacency, "deep", lambda self, rounds: True)
     n = 60
     graph, edges = two_rings(spark, n, 5)
     path, (row, col) = HEAVY[name]
