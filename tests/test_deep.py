@@ -9,7 +9,7 @@ import pytest
 
 from pathweave import oracle, session, shapes
 from pathweave.operators.condense import Condensed, components_of
-from pathweave.operators.propagate import Adjacency, closed, propagate, shallow_then_squared
+from pathweave.operators.propagate import Adjacency, carried, closed, propagate, shallow_then_squared
 from pathweave.operators.relation import BoolMatrix
 from pathweave.plans import Solver
 from pathweave.plans.ast import Alt, Concat, Label, Opt, Plus, Star
@@ -373,3 +373,11 @@ def test_merged_states_and_jumps_keep_the_language(sign, start):
         assert less.states <= whole.states and len(moves) <= len(less.moves)
         assert start or not [1 for _, _, b in less.moves if b == 0] + [1 for j in jumps if 0 in j]
         assert words_of(whole, longest) == words_of(less, longest) == words_of(less, longest, moves, jumps)
+
+
+def test_sources_are_dealt_out_also_after_a_distinct(spark):
+    edges = np.array([(i, (i + 1) % 64) for i in range(64)], np.int64)
+    nodes = spark.range(64).select("id").unionByName(spark.range(64).select("id"))
+    found = carried(BoolMatrix.identity(nodes).pairs, (edges[:, 0], edges[:, 1]), True, strategy="broadcast")
+    tasks = {r[0] for r in found.selectExpr("spark_partition_id()").distinct().collect()}
+    assert len(tasks) == 4 and found.count() == 64 * 64
