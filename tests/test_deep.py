@@ -381,3 +381,16 @@ def test_sources_are_dealt_out_also_after_a_distinct(spark):
     found = carried(BoolMatrix.identity(nodes).pairs, (edges[:, 0], edges[:, 1]), True, strategy="broadcast")
     tasks = {r[0] for r in found.selectExpr("spark_partition_id()").distinct().collect()}
     assert len(tasks) == 4 and found.count() == 64 * 64
+
+
+def test_edges_and_constants_are_read_once_for_all_readings(spark, monkeypatch):
+    graph, edges = two_rings(spark, 60, 5)
+    frame, reads = type(graph.edges), []
+    for name in ("toArrow", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, whole=getattr(frame, name): reads.append(1) or whole(self))
+    paths = ("a/(b*|a)/b*", "(a/b*|a/b)*", "(^a*/b)+")
+    found = [Solver(graph).solve(None, path, 7).pairs for path in paths]
+    assert len(reads) <= 3  # figures, the constant, edges
+    monkeypatch.undo()
+    for path, pairs in zip(paths, found, strict=True):
+        assert {tuple(r) for r in pairs.collect()} == {(a, b) for a, b in searched(edges, 60, path) if b == 7}
