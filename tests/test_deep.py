@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathweave import oracle, session, shapes
 from pathweave.operators.condense import Condensed, components_of
@@ -439,3 +440,11 @@ def test_search_from_one_node(monkeypatch, deep, few):
     n = 20_000
     chain = Cells(["a"], np.arange(n), np.arange(n) + 1, np.zeros(n, np.int32))
     assert chain.search(5, 2, [(0, ("a", False), 1), (1, ("a", False), 1)], {1}).tolist() == list(range(6, n + 1))
+
+
+def test_tiles_of_large_components_are_dealt_out_evenly(spark):
+    """clos_squaring_sparse: a ring of five parts is 25 tiles for 4 tasks, not five rows of five."""
+    n = 1280
+    ring = spark.range(n).selectExpr("id AS row", f"(id + 1) % {n} AS col")
+    tasks = [r["count"] for r in closed(ring, "squaring").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n * n and max(tasks) < 0.32 * n * n
