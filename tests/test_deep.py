@@ -86,6 +86,27 @@ def test_events_follow_each_other_over_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("few", [None, 0, 200])
+def test_few_events_are_one_window(spark, tmp_path, monkeypatch, few):
+    """Builds of rpq_shape_cv_then_star_or_star: few events are put in order without ranges or tables on the way, many
+    over ranges; ties in time, rows without a user, type or value, and the last event are as in SQL."""
+    rng = random.Random(5)
+    rows = [(i, 1_600_000_000 + rng.randrange(9), rng.choice([*range(9), None]), rng.choice(["a", "b", None]), rng.choice([50.0, 70.0, None])) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "value")
+    events.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {(a[2], a[3], b[2]) for a, b in zip(order, order[1:], strict=False) if a[4] == 70 and None not in (a[2], a[3], b[2])}
+    module, made = sys.modules["pathweave.sources.tables"], []
+    monkeypatch.setattr(module, "written", lambda df, tag, whole=module.written: made.append(tag) or whole(df, tag))
+    if few is not None:
+        monkeypatch.setattr(module, "FEW_EVENTS", few)
+    graph = events_graph(spark, str(tmp_path), 60.0)
+    got = [tuple(r) for r in graph.edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r[0] for r in graph.nodes.select("id").collect()} == set(range(9))
+    assert bool(made) == (few == 0)
+
+
 def test_pairs_files(spark, tmp_path):
     triples = {(i % 97, 1 + (i > 2900), i) for i in range(3000)} | {(5, 12, 4294967295)}
     frame = spark.createDataFrame(sorted(triples), "s long, p int, o long")
