@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -131,6 +132,27 @@ def test_a_stored_graph_has_its_figures(spark, tmp_path):
     assert (got.node_id("two"), got.node_id("<the third>"), got.node_id("four")) == (2, 3, None)
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_nodes_are_saved_while_edges_are(spark, tmp_path, monkeypatch, named):
+    """Builds of rpq_shape_vc_then_star_then_star: the nodes don't wait for the edges, where these don't give them."""
+    module = sys.modules["pathweave.sources.graph"]
+
+    def last(edges, path, write=module.write_partitioned):
+        until = time.monotonic() + 60
+        while not (tmp_path / "nodes" / "_SUCCESS").exists():
+            assert time.monotonic() < until
+            time.sleep(0.05)
+        write(edges, path)
+
+    monkeypatch.setattr(module, "write_partitioned", last)
+    edges = spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "s long, p string, o long")
+    nodes = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "id long, term string")
+    GraphStore.from_edges(edges, nodes if named else nodes.select("id")).save(str(tmp_path))
+    got = GraphStore.load(spark, str(tmp_path))
+    assert got.stats() == {"a": (1, 1, 1), "b": (1, 1, 1)} and got.nodes.count() == 4
+    assert got.node_id("four" if named else "4") == 4 and {tuple(r) for r in got.edges.collect()} == {(1, "a", 2), (2, "b", 3)}
+
+
 def test_intermediates_are_deleted(spark, tmp_path):
     with session.intermediates(spark):
         kept = session.written(spark.range(5), "x")
